@@ -49,7 +49,7 @@ def container(html: Column, tag: str) -> Column:
         )
 
     return F.when(
-        html.rlike(f"(?i)<{tag}"), let(F.split(html, rf"(?i)(?=<{tag}|</{tag}>)"), measure)
+        html.rlike(f"<(?i:{tag})"), let(F.split(html, rf"(?=<(?i:/?{tag}))"), measure)
     )
 
 
@@ -62,7 +62,7 @@ def cut_footer(html: Column) -> Column:
     """Cut at the earliest footer id, moved back to the last ``<h`` before it."""
     ids = "|".join(config.FOOTER_IDS)
     # A mark at the very first character does not count, hence the lookbehind.
-    parts = F.split(html, rf'(?is)(?<=.)id="(?:{ids})"', 2)
+    parts = F.split(html, rf'[iI](?<!\A.)[dD]="(?i:{ids})"', 2)
 
     def back_to_heading(before: Column) -> Column:
         at = last_index(F.translate(before, "H", "h"), "<h", F.length(before))

@@ -16,12 +16,14 @@ from pagepress.functions.urls import resolve_url
 # neither backtrack nor recurse.
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<[!?][^>]*+>?"
-    rf"|<(script|style|iframe)\b{_ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1[^>]*+>|\z)"
-    rf"|</?[a-z]{_ATTRS}>"
-    r"|</?[a-z][^>]*+>"
-    r"|[^<]++"
+    r"[^<]++"
+    r"|<(?:"
+    r"(?s:!--.*?(?:-->|\z))"
+    r"|[!?][^>]*+>?"
+    rf"|(?i:(script|style|iframe)\b{_ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1[^>]*+>|\z))"
+    rf"|/?[a-zA-Z]{_ATTRS}>"
+    r"|/?[a-zA-Z][^>]*+>"
+    r")"
     r"|<"
 )
 _ATTR = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
@@ -63,28 +65,24 @@ def tokens(html: Column) -> Column:
     """
 
     def token(t: Column) -> Column:
+        second = F.substr(t, F.lit(2), F.lit(1))
         kind = (
-            F.when(t.rlike(r"\A<[!?]"), "comment")
+            F.when(~F.startswith(t, F.lit("<")), "text")
+            .when(second == "/", F.when(t.rlike(r"\A</[a-zA-Z]"), "close").otherwise("text"))
+            .when(second.isin("!", "?"), "comment")
             .when(t.rlike(r"(?i)\A<(?:script|style|iframe)\b"), "raw")
-            .when(t.rlike(r"(?i)\A</[a-z]"), "close")
-            .when(t.rlike(r"(?i)\A<[a-z]"), "open")
+            .when(t.rlike(r"\A<[a-zA-Z]"), "open")
             .otherwise("text")
         )
-        return let(
-            kind,
-            lambda k: F.struct(
-                k.alias("kind"),
-                F.when(
-                    k.isin("open", "close", "raw"),
-                    F.lower(F.regexp_extract(t, r"\A</?([a-zA-Z][^\s/>]*)", 1)),
-                ).alias("tag"),
-                F.when(
-                    k.isin("open", "raw"),
-                    _attributes(F.regexp_extract(t, rf"(?is)\A<[a-z]{_ATTRS}>|\A<[a-z][^>]*+>", 0)),
-                ).alias("attrs"),
-                t.alias("text"),
-            ),
+        tag = F.when(
+            F.startswith(t, F.lit("<")),
+            F.nullif(F.lower(F.regexp_extract(t, r"\A</?([a-zA-Z][^\s/>]*)", 1)), F.lit("")),
+        )
+        attrs = F.when(
+            t.rlike(r"\A<[a-zA-Z][^\s/>]*[\s/]"),
+            _attributes(F.regexp_extract(t, rf"\A<[a-zA-Z]{_ATTRS}>|\A<[a-zA-Z][^>]*+>", 0)),
         )
+        return F.struct(kind.alias("kind"), tag.alias("tag"), attrs.alias("attrs"), t.alias("text"))
 
     return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), token)
 
@@ -145,7 +143,7 @@ def is_excluded(token: Column) -> Column:
     ).otherwise(False)
 
 
-_MAY_MATCH = "(?i)<(?:{tags})\\b|<[a-z][^>]*\\s(?:class|id|{attrs})\\b".format(
+_MAY_MATCH = "<(?i:(?:{tags})\\b|[a-z][^>]*\\s(?:class|id|{attrs})\\b)".format(
     tags="|".join(_names("tag")), attrs="|".join(dict.fromkeys(_names("attr")))
 )
 
@@ -262,23 +260,29 @@ def strip_elements(html: Column) -> Column:
     ).otherwise(html)
 
 
-_LINK_TAG = r"(?is)\A<(?:a|img|link)[\s/]"
-_LINK_VALUE = r"""(?is)\A(<(?:a|img|link)[\s/](?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'/]){name}\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+_BEFORE = r"""(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'/])"""
+_LINK = (
+    rf"(?is)\A(<(?:(?:a|link)[\s/]{_BEFORE}href|img[\s/]{_BEFORE}src)\s*=\s*)"
+    r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+)
 
 
-def _rewrite(piece: Column, name: str, skip: str, base: Column) -> Column:
-    pattern = _LINK_VALUE.format(name=name)
-    parts = F.struct(
-        F.regexp_extract(piece, pattern, 1).alias("head"),
-        F.regexp_extract(piece, pattern, 2).alias("raw"),
-    )
-    return let(
-        parts,
-        lambda p: let(
-            F.regexp_replace(p["raw"], r"""(?s)\A(["'])(.*)\1\z""", "$2"),
-            lambda value: F.when(
-                (value == "") | value.rlike(skip), piece
-            ).otherwise(
+def absolutize_links(html: Column, base: Column) -> Column:
+    """Make ``href`` of a and link and ``src`` of img absolute; leave what has no absolute form."""
+    pieces = F.split(html, r"(?=<(?i:a|img|link)[\s/])")
+
+    def rewrite(piece: Column) -> Column:
+        parts = F.struct(
+            F.regexp_extract(piece, _LINK, 1).alias("head"),
+            F.regexp_extract(piece, _LINK, 2).alias("raw"),
+        )
+
+        def with_target(p: Column) -> Column:
+            value = F.regexp_replace(p["raw"], r"""(?s)\A(["'])(.*)\1\z""", "$2")
+            skip = F.when(p["head"].rlike(r"(?i)\A<img"), value.rlike(r"\Adata:")).otherwise(
+                value.rlike(r"\A(?:#|mailto:)")
+            )
+            return F.when((p["head"] == "") | (value == "") | skip, piece).otherwise(
                 F.coalesce(
                     F.concat(
                         p["head"],
@@ -289,24 +293,12 @@ def _rewrite(piece: Column, name: str, skip: str, base: Column) -> Column:
                     ),
                     piece,
                 )
-            ),
-        ),
-    )
-
-
-def absolutize_links(html: Column, base: Column) -> Column:
-    """Make ``href`` of a and link and ``src`` of img absolute; leave what has no absolute form."""
-    pieces = F.split(html, r"(?i)(?=<(?:a|img|link)[\s/])")
+            )
 
-    def rewrite(piece: Column) -> Column:
-        return F.when(
-            piece.rlike(_LINK_TAG),
-            F.when(piece.rlike(r"(?i)\A<(?:a|link)"), _rewrite(piece, "href", r"\A(?:#|mailto:)", base))
-            .otherwise(_rewrite(piece, "src", r"\Adata:", base)),
-        ).otherwise(piece)
+        return F.when(F.startswith(piece, F.lit("<")), let(parts, with_target)).otherwise(piece)
 
     return F.when(
-        html.rlike(r"(?i)<(?:a|img|link)[\s/]"), F.array_join(F.transform(pieces, rewrite), "")
+        html.rlike(r"<(?i:a|img|link)[\s/]"), F.array_join(F.transform(pieces, rewrite), "")
     ).otherwise(html)
 
 

@@ -11,13 +11,15 @@ from pagepress.functions.text import SPACE, blank_to_null, let, word_count
 def cap_words(md: Column, cap: int = config.MAX_WORDS) -> Column:
     """Over ``cap`` words: the first ``cap`` joined by single spaces, and a note."""
     note = f"\n\n---\n*Content truncated at {cap:,} words.*"
-    return let(
+    capped = let(
         F.split(md, f"{SPACE}+"),
         lambda ws: F.when(
             F.size(ws) > cap,
             F.concat(F.array_join(F.slice(ws, F.lit(1), F.lit(cap)), " "), F.lit(note)),
         ).otherwise(md),
     )
+    # More than ``cap`` pieces need ``cap`` separators and the words between them.
+    return F.when(F.length(md) >= 2 * cap - 1, capped).otherwise(md)
 
 
 def metadata_header(url: Column, title: Column, description: Column, metadata: Column) -> Column:

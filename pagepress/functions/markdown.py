@@ -17,7 +17,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress.functions.elements import _ATTRS
-from pagepress.functions.text import let, scan_strings
+from pagepress.functions.text import let, replace_many, scan_strings
 
 # Held characters: space, newline, "<", ">", heading mark, list-item gap.
 _SP, _NL, _LT, _GT, _H, _GAP = (chr(0xFDD0 + i) for i in range(6))
@@ -71,7 +71,7 @@ def _hold(c: Column) -> Column:
 
 
 def _strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?is)</?[a-z]{_ATTRS}>|<!--.*?-->", "")
+    return F.regexp_replace(c, rf"(?is)<(?:/?[a-z]{_ATTRS}>|!--.*?-->)", "")
 
 
 _FENCE_OPEN = rf"(?is)\A<pre\b{_ATTRS}>(<code\b{_ATTRS}>)({_inside('code|pre')})</code\s*></pre\s*>"
@@ -98,7 +98,7 @@ def _fenced(html: Column) -> Column:
 
     pieces = F.split(html, r"(?is)(?=<pre\b[^>]*><code\b)")
     return F.when(
-        html.rlike(r"(?i)<pre\b[^>]*><code\b"), F.array_join(F.transform(pieces, block), "")
+        html.rlike(r"<[pP][rR][eE]\b[^>]*><[cC][oO][dD][eE]\b"), F.array_join(F.transform(pieces, block), "")
     ).otherwise(html)
 
 
@@ -115,7 +115,7 @@ def _inline(html: Column) -> Column:
 
     pieces = F.split(html, r"(?i)(?=<code\b)")
     return F.when(
-        html.rlike(r"(?i)<code\b"), F.array_join(F.transform(pieces, block), "")
+        html.rlike(r"<[cC][oO][dD][eE]\b"), F.array_join(F.transform(pieces, block), "")
     ).otherwise(html)
 
 
@@ -140,7 +140,7 @@ def _lists(html: Column) -> Column:
                     F.array(
                         F.struct(
                             (n == "ol").alias("numbered"),
-                            (F.coalesce(start.try_cast("int"), F.lit(1)) - 1).alias("n"),
+                            F.when(start == "", 0).otherwise(start.cast("int") - 1).alias("n"),
                         )
                     ),
                     stack,
@@ -177,7 +177,7 @@ def _lists(html: Column) -> Column:
 
     pieces = F.split(html, r"(?i)(?=</?(?:ul|ol|li)\b[^>]*>)")
     start = F.array().cast("array<struct<numbered:boolean,n:int>>")
-    return F.when(html.rlike(r"(?i)<li\b"), scan_strings(pieces, start, advance, emit)).otherwise(html)
+    return F.when(html.rlike(r"<[lL][iI]\b"), scan_strings(pieces, start, advance, emit)).otherwise(html)
 
 
 def _tables(html: Column) -> Column:
@@ -227,7 +227,7 @@ def _tables(html: Column) -> Column:
         )
 
     return F.when(
-        html.rlike(r"(?i)<tr\b"), let(F.split(html, r"(?i)(?=<tr\b)"), rows)
+        html.rlike(r"<[tT][rR]\b"), let(F.split(html, r"(?i)(?=<tr\b)"), rows)
     ).otherwise(html)
 
 
@@ -254,7 +254,7 @@ def _quotes(text: Column) -> Column:
 
     pieces = F.split(text, r"(?i)(?=</?blockquote\b[^>]*>)")
     return F.when(
-        text.rlike(r"(?i)<blockquote\b"), scan_strings(pieces, F.lit(0), depth_after, emit)
+        text.rlike(r"<[bB][lL][oO][cC][kK][qQ][uU][oO][tT][eE]\b"), scan_strings(pieces, F.lit(0), depth_after, emit)
     ).otherwise(text)
 
 
@@ -286,7 +286,7 @@ def _images(html: Column) -> Column:
 
     pieces = F.split(html, r"(?i)(?=<img\b)")
     return F.when(
-        html.rlike(r"(?i)<img\b"), F.array_join(F.transform(pieces, image), "")
+        html.rlike(r"<[iI][mM][gG]\b"), F.array_join(F.transform(pieces, image), "")
     ).otherwise(html)
 
 
@@ -314,7 +314,7 @@ def _links(html: Column) -> Column:
     same = F.regexp_replace(html, rf'{head}\s*"([^"]+)"{tail}\1</a\s*>', f"{_LT}$1{_GT}")
     linked = F.regexp_replace(same, rf"{head}\s*{href}{tail}({_inside('a')})</a\s*>", "[$4]($1$2$3)")
     empty = F.regexp_replace(linked, r"\[([^\[\]]*)\]\(\)", "$1")
-    return F.when(html.rlike(r"(?i)<a\b"), empty).otherwise(html)
+    return F.when(html.rlike(r"<[aA]\b"), empty).otherwise(html)
 
 
 def _emphasis(html: Column) -> Column:
@@ -327,7 +327,7 @@ def _emphasis(html: Column) -> Column:
             rf"(?i)<(?:{tags})(?:\s[^>]*)?>(?!</)({_inside(tags)})</(?:{tags})\s*>",
             f"{sign}$1{sign}",
         )
-    return F.when(html.rlike(rf"(?i)</(?:{names})\s*>"), out).otherwise(html)
+    return F.when(html.rlike(rf"</(?i:{names})\s*>"), out).otherwise(html)
 
 
 # --- entities -----------------------------------------------------------------
@@ -408,47 +408,71 @@ def decode_entities(c: Column) -> Column:
 # --- the whole ----------------------------------------------------------------
 
 
-def _prepare(html: Column) -> Column:
-    held = F.translate(html, _HELD, "")
+def _if_has(text: Column, needles: list[str], then: Column) -> Column:
+    """``then`` where the text holds one of the substrings, else the text as it is."""
+    found = F.contains(text, F.lit(needles[0]))
+    for needle in needles[1:]:
+        found = found | F.contains(text, F.lit(needle))
+    return F.when(found, then).otherwise(text)
+
+
+def _drop_held(html: Column) -> Column:
+    return F.when(html.rlike(f"[{_SP}-{_GAP}]"), F.translate(html, _HELD, "")).otherwise(html)
+
+
+def _drop_invisible(html: Column) -> Column:
     return F.regexp_replace(
-        held,
-        rf"(?is)<!--.*?(?:-->|\z)|<[!?][^>]*>|<(script|style)\b{_ATTRS}>{_inside('script|style')}(?:</\1[^>]*>|\z)",
+        html,
+        rf"(?is)<(?:!--.*?(?:-->|\z)|[!?][^>]*>|(script|style)\b{_ATTRS}>{_inside('script|style')}(?:</\1[^>]*>|\z))",
         "",
     )
 
 
 def _collapse_space(html: Column) -> Column:
-    return F.regexp_replace(html, r"[ \t\r\n\f]+", " ")
+    return F.regexp_replace(html, r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " ")
 
 
 def _headings(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?i)<h([1-6])(?:\s[^>]*)?> *", f"\n\n{_H}$1")
+    out = F.regexp_replace(html, r"<[hH]([1-6])(?:\s[^>]*)?> *", f"\n\n{_H}$1")
+    out = F.regexp_replace(out, r"</[hH][1-6]\s*>", "\n\n")
     for level in range(1, 7):
         out = F.replace(out, F.lit(f"{_H}{level}"), F.lit("#" * level + _SP))
-    return F.regexp_replace(out, r"(?i)</h[1-6]\s*>", "\n\n")
+    return F.when(html.rlike(r"<[hH][1-6]"), out).otherwise(html)
 
 
 def _blocks(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?i)<br\b[^>]*>", _SP + _SP + _NL)
-    out = F.regexp_replace(out, r"(?i)<hr\b[^>]*>", "\n\n---\n\n")
-    return F.regexp_replace(out, rf"(?i)</?(?!blockquote)(?:{_BLOCK})(?:[\s/][^>]*)?>", "\n\n")
+    out = F.regexp_replace(html, r"<[bB][rR]\b[^>]*>", _SP + _SP + _NL)
+    out = F.regexp_replace(out, r"<[hH][rR]\b[^>]*>", "\n\n---\n\n")
+    return F.regexp_replace(out, rf"</?(?i:(?!blockquote)(?:{_BLOCK}))(?:[\s/][^>]*)?>", "\n\n")
+
+
+def _tidy_lines(text: Column) -> Column:
+    return F.regexp_replace(_strip_tags(text), r" *\n *", "\n")
+
+
+def _tidy_breaks(text: Column) -> Column:
+    """A break at the end of a block disappears."""
+    out = F.regexp_replace(text, rf"(?: *{_SP}{_SP}{_NL} *)+(?=\n|\z)", "")
+    return _if_has(text, [_NL], F.regexp_replace(out, rf" *({_SP}{_SP}{_NL}) *", "$1"))
+
+
+def _tidy_items(text: Column) -> Column:
+    return _if_has(text, [_GAP], F.regexp_replace(text, rf"{_GAP}[ \n]*", _SP))
+
+
+def _tidy_spaces(text: Column) -> Column:
+    return _if_has(text, ["  "], F.regexp_replace(text, r" {2,}", " "))
 
 
-def _finish(text: Column) -> Column:
-    out = _strip_tags(text)
-    out = F.regexp_replace(out, r" *\n *", "\n")
-    out = F.regexp_replace(out, rf"(?: *{_SP}{_SP}{_NL} *)+(?=\n|\z)", "")
-    out = F.regexp_replace(out, rf" *({_SP}{_SP}{_NL}) *", "$1")
-    out = F.regexp_replace(out, rf"{_GAP}[ \n]*", _SP)
-    out = F.regexp_replace(out, r" {2,}", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"\A[ \n]+|[ \n]+\z", "")
-    return F.translate(out, _SP + _NL + _LT + _GT + _H + _GAP, " \n<>")
+def _release(text: Column) -> Column:
+    out = F.btrim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    return replace_many(out, [(_SP, " "), (_NL, "\n"), (_LT, "<"), (_GT, ">")])
 
 
 RENDER_STEPS = [
-    _prepare, _fenced, _inline, _collapse_space, _images, _encode_link_targets, _links, _emphasis,
-    _tables, _lists, _headings, _blocks, _quotes, _finish, decode_entities,
+    _drop_held, _drop_invisible, _fenced, _inline, _collapse_space, _images, _encode_link_targets,
+    _links, _emphasis, _tables, _lists, _headings, _blocks, _quotes, _tidy_lines, _tidy_breaks,
+    _tidy_items, _tidy_spaces, _release, decode_entities,
 ]
 
 

@@ -103,8 +103,9 @@ def split_url(c: Column) -> Column:
                     lambda h: F.when(
                         h["ok"]
                         & (F.startswith(h["host"], F.lit("[")) | ~h["host"].rlike(_FORBIDDEN_HOST))
-                        & ((h["port"] == "") | (F.length(h["port"]) <= 5))
-                        & (F.coalesce(h["port"].try_cast("int"), F.lit(0)) <= 65535),
+                        & F.when(h["port"] == "", True)
+                        .when(F.length(h["port"]) <= 5, h["port"].cast("int") <= 65535)
+                        .otherwise(False),
                         F.struct(
                             h["scheme"].alias("scheme"),
                             h["auth"].alias("auth"),
@@ -228,37 +229,33 @@ def resolve_url(reference: Column, base: Column) -> Column:
     base_query = F.regexp_extract(base, r"\A[^?#]*(\?[^#]*)?", 1)
     folder = F.regexp_extract(base_path, r"(?s)\A(.*/)", 1)
 
-    def build(r: Column) -> Column:
-        same_scheme = F.lower(F.regexp_extract(r, r"(?i)\A(https?):(?![/\\])", 1)) == F.regexp_extract(
-            base, r"\A([a-z]+):", 1
+    scheme = F.regexp_extract(base, r"\A([a-z]+):", 1)
+
+    def full(s: Column) -> Column:
+        """The reference as an absolute http(s) URL that still has to be cleaned up."""
+        return (
+            F.when(s.rlike(r"(?i)\Ahttps?:"), s)
+            .when(s.rlike(r"\A[/\\]{2}"), F.concat(scheme, F.lit(":"), s))
+            .when(F.startswith(s, F.lit("?")), F.concat(origin, base_path, s))
+            .when((s == "") | F.startswith(s, F.lit("#")), F.concat(origin, base_path, base_query, s))
+            .when(s.rlike(r"\A[/\\]"), F.concat(origin, s))
+            .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), s))
         )
+
+    def build(r: Column) -> Column:
+        # "https:foo" without slashes is relative when the page has the same scheme.
+        same_scheme = F.lower(F.regexp_extract(r, r"(?i)\A(https?):(?![/\\])", 1)) == scheme
         return let(
             F.when(same_scheme, F.regexp_replace(r, r"(?i)\Ahttps?:", "")).otherwise(r),
             lambda s: F.when(s.rlike(_PLAIN_PATH), F.concat(origin, s))
-            .when(s.rlike(r"(?i)\Ahttps?:"), let(split_url(s), _absolute))
             .when(
-                s.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:"),
+                s.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:") & ~s.rlike(r"(?i)\Ahttps?:"),
                 F.concat(
                     F.lower(F.regexp_extract(s, r"\A([^:]*:)", 1)),
                     F.regexp_extract(s, r"(?s)\A[^:]*:(.*)", 1),
                 ),
             )
-            .when(
-                s.rlike(r"\A[/\\]{2}"),
-                let(split_url(F.concat(F.regexp_extract(base, r"\A([a-z]+:)", 1), s)), _absolute),
-            )
-            .otherwise(let(split_url(_joined(s)), _absolute)),
-        )
-
-    def _joined(s: Column) -> Column:
-        return (
-            F.when(s == "", F.concat(origin, base_path, base_query))
-            .when(F.startswith(s, F.lit("#")), F.concat(origin, base_path, base_query, s))
-            .when(F.startswith(s, F.lit("?")), F.concat(origin, base_path, s))
-            .when(s.rlike(r"\A[/\\]"), F.concat(origin, s))
-            .otherwise(
-                F.concat(origin, F.when(folder == "", "/").otherwise(folder), s)
-            )
+            .otherwise(let(split_url(full(s)), _absolute)),
         )
 
     return F.when(base.rlike(r"\Ahttps?://"), let(_clean(reference), build))
