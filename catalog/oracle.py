@@ -235,8 +235,7 @@ def rendered(html: str) -> str:
     x = rx(x, r'<a href="([^"]*)">([^<]*)</a>', r"[\2](\1)", "gi")
     for n in range(1, 7):
         x = rx(x, f"<h{n}> *", "\n\n" + "#" * n + " ", "gi")
-    x = rx(x, r"<li[^>]*> *", "\n- ", "gi")
-    x = rx(x, r"</li>", "\n", "gi")
+    x = rx(x, r"(?:</li> *)?<li[^>]*> *", "\n- ", "gi")
     x = f"replace({x}, '<br>', chr(1))"
     x = rx(x, rf"</?(?:{_BLOCK})(?:\s[^>]*)?>", "\n\n", "gi")
     x = rx(x, r"</?[a-z][^>]*>", "", "gi")
@@ -418,7 +417,7 @@ _PUSH = r'self\.__next_f\.push\(\[1,"((?:[^"\\]|\\.)*)"\]\)'
 
 
 def flight_steps(source: str) -> list[tuple[str, str]]:
-    """Steps ending in ``texts(k, text)`` and ``parts(k, kind, at, level, text)``."""
+    """Steps ending in ``texts(k, text)`` and ``parts(k, kind, place, level, text)``."""
     text = "array_to_string(list(payload order by pos), chr(10))"
     for old, new in (("\\\\n", "chr(10)"), ('\\\\"', "chr(34)"), ('\\"', "chr(34)"), ("\\\\", "chr(92)")):
         text = f"replace({text}, {q(old)}, {new})"
@@ -446,7 +445,7 @@ def flight_steps(source: str) -> list[tuple[str, str]]:
         ),
         (
             "placed",
-            f"select k, kind, m, strpos(text, m) as at, regexp_extract(m, '^\"as\"\\s*:\\s*\"(h[1-6])\"', 1) as level, "
+            f"select k, kind, m, strpos(text, m) as place, regexp_extract(m, '^\"as\"\\s*:\\s*\"(h[1-6])\"', 1) as level, "
             f"{cleaned('m')} as text from found",
         ),
         (
@@ -456,14 +455,14 @@ def flight_steps(source: str) -> list[tuple[str, str]]:
         ),
         (
             "parts",
-            "select k, kind, at, level, text from usable qualify row_number() over (partition by k, text order by kind, at) = 1",
+            "select k, kind, place, level, text from usable qualify row_number() over (partition by k, text order by kind, place) = 1",
         ),
     ]
 
 
 _FLIGHT_HTML = (
     "select d.k, coalesce(string_agg(case when p.kind = 0 then '<' || level || '>' || text || '</' || level || '>' "
-    "else '<p>' || text || '</p>' end, chr(10) order by at), '') as html from {source} d left join parts p on p.k = d.k group by d.k"
+    "else '<p>' || text || '</p>' end, chr(10) order by place), '') as html from {source} d left join parts p on p.k = d.k group by d.k"
 )
 
 
@@ -726,12 +725,12 @@ def build() -> dict[str, str]:
         "render_markdown": f"select page_id, {rendered('html')} as markdown from pages",
         "render_blocks": "select c_custkey as k, "
         + "replace(replace(" + q(
-            "## {n} & co\n\na **bold** and _it alic_, ~~no~~  \nnext\n\n- one\n\n- two\n   1. x\n   2. y [link](/l)\n\n"
+            "## {n} & co\n\na **bold** and _it alic_, ~~no~~  \nnext\n\n- one\n- two\n   1. x\n   2. y [link](/l)\n\n"
             "unclosed\n\n![pic](i.png)\n\n| h | k |\n| --- | --- |\n| {m} | 2 |\n\n---\n\n> q1\n> q2\n\n\u00a9 \u00e9\u263a <x>"
         ) + ", '{n}', c_name), '{m}', c_mktsegment) as markdown from customer",
-        "render_code": "select c_custkey as k, c_name || " + q("\n\nin\n\nhn\n\n_r_\n\n```sql\nselect 1\n  from t\n```\n\n")
-        + " || case when c_custkey % 3 = 0 then '`` a`b`` ``' else '``a`b``' end || " + q("\n\n## T\n\ntail") + " as markdown from customer",
-        "inline_code": f"select k, case when ends_with(t, '`') then '`` ' || t || ' ``' else '``' || t || '``' end as code from (select k, {inline} as t from {duck('d_html')})",
+        "render_code": "select c_custkey as k, c_name || " + q("\n\nin\n\nh\n\nn\n\n_r_\n\n```sql\nselect 1\n  from t\n```\n\n")
+        + " || case when c_custkey % 3 = 0 then '``` a`b`` ```' else '``a`b``' end || " + q("\n\n## T\n\ntail") + " as markdown from customer",
+        "inline_code": f"select k, case when ends_with(t, '`') then '``` ' || t || ' ```' else '``' || t || '``' end as code from (select k, {inline} as t from {duck('d_html')})",
         "fenced_code": "select k, '```sql' || chr(10) || rtrim(regexp_extract(html, '<pre><code[^>]*>([^<]*)</code>', 1), chr(10)) || chr(10) || '```' as code "
         f"from {duck('d_html')}",
         "multiline_links": with_steps(md_src + multiline_steps("src", "k", "md", "done"), "select k, md from done"),

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagepress.functions.elements import _ATTRS
 from pagepress.functions.text import let, replace_many, scan_strings
 
-# Held characters: space, newline, "<", ">", heading mark, list-item gap.
-_SP, _NL, _LT, _GT, _H, _GAP = (chr(0xFDD0 + i) for i in range(6))
-_HELD = _SP + _NL + _LT + _GT + _H + _GAP
+# Held characters: space, newline, "<", ">", heading mark, gap behind a bullet, start of an item,
+# start of a list.
+_SP, _NL, _LT, _GT, _H, _GAP, _ITEM, _LIST = (chr(0xFDD0 + i) for i in range(8))
+_HELD = _SP + _NL + _LT + _GT + _H + _GAP + _ITEM + _LIST
 
 _BLOCK = (
     "address|article|aside|blockquote|body|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|"
@@ -92,7 +93,7 @@ def _fenced(html: Column) -> Column:
         return F.when(
             piece.rlike(_FENCE_OPEN),
             F.concat(
-                F.lit("\n\n"), code, F.lit("\n\n"), F.substr(piece, F.length(part(0)) + 1)
+                F.lit("<div>"), code, F.lit("</div>"), F.substr(piece, F.length(part(0)) + 1)
             ),
         ).otherwise(piece)
 
@@ -165,14 +166,10 @@ def _lists(html: Column) -> Column:
         return let(
             name(piece),
             lambda n: F.when(n == "", piece)
-            .when(n == "li", F.concat(F.lit("\n"), indent, bullet, F.lit(_GAP), rest))
+            .when(n == "li", F.concat(F.lit(_ITEM), indent, bullet, F.lit(_GAP), rest))
             .when(n == "/li", F.concat(F.lit("\n"), rest))
-            .otherwise(
-                F.concat(
-                    F.when((F.size(before) > 1) | ((F.size(before) == 1) & n.isin("ul", "ol")), "\n").otherwise("\n\n"),
-                    rest,
-                )
-            ),
+            .when(n.isin("ul", "ol"), F.concat(F.when(F.size(before) == 0, _LIST).otherwise("\n"), rest))
+            .otherwise(F.concat(F.when(F.size(after) == 0, "\n\n").otherwise("\n"), rest)),
         )
 
     pieces = F.split(html, r"(?i)(?=</?(?:ul|ol|li)\b[^>]*>)")
@@ -206,10 +203,8 @@ def _tables(html: Column) -> Column:
                 F.concat(
                     F.lit("\n| "),
                     F.array_join(cs, " | "),
-                    F.lit(" |\n"),
-                    F.when(
-                        first, F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(cs)), F.lit("\n"))
-                    ).otherwise(""),
+                    F.lit(" |"),
+                    F.when(first, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size(cs)))).otherwise(""),
                     rest,
                 )
             ),
@@ -341,7 +336,7 @@ _NAMED = "\n" + "\n".join(
 # Names that also count without a semicolon, longest first.
 _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 _C1 = "".join(bytes([b]).decode("cp1252", errors="replace") for b in range(128, 160))
-_ENTITY = rf"\A&(?:#(\d{{1,7}})(?:;|(?!\d))|#[xX]([0-9a-fA-F]{{1,6}})(?:;|(?![0-9a-fA-F]))|([a-zA-Z][a-zA-Z0-9]*);|({_BARE}))"
+_ENTITY = rf"\A&(?:#(\d{{1,7}})(?:;|(?!\d))|#[xX]([0-9a-fA-F]{{1,6}})(?:;|(?![0-9a-fA-F]))|([a-zA-Z][a-zA-Z0-9]*);)"
 
 
 def decode_entities(c: Column) -> Column:
@@ -376,16 +371,17 @@ def decode_entities(c: Column) -> Column:
         def rest(n: Column) -> Column:
             return F.substr(piece, n + 1)
 
+        bare = F.regexp_extract(piece, rf"\A&({_BARE})", 1)
         other = let(
-            F.struct(*[part(i).alias(f"g{i}") for i in range(5)]),
+            F.struct(*[part(i).alias(f"g{i}") for i in range(4)]),
             lambda g: F.coalesce(
                 F.concat(
                     F.when(g["g1"] != "", char(g["g1"].cast("int")))
                     .when(g["g2"] != "", char(F.conv(g["g2"], 16, 10).cast("int")))
-                    .when(g["g3"] != "", named(g["g3"]))
-                    .when(g["g4"] != "", named(g["g4"])),
+                    .when(g["g3"] != "", named(g["g3"])),
                     rest(F.length(g["g0"])),
                 ),
+                F.concat(named(F.nullif(bare, F.lit(""))), rest(F.length(bare) + 1)),
                 piece,
             ),
         )
@@ -417,7 +413,7 @@ def _if_has(text: Column, needles: list[str], then: Column) -> Column:
 
 
 def _drop_held(html: Column) -> Column:
-    return F.when(html.rlike(f"[{_SP}-{_GAP}]"), F.translate(html, _HELD, "")).otherwise(html)
+    return F.when(html.rlike(f"[{_SP}-{_LIST}]"), F.translate(html, _HELD, "")).otherwise(html)
 
 
 def _drop_invisible(html: Column) -> Column:
@@ -457,7 +453,9 @@ def _tidy_breaks(text: Column) -> Column:
 
 
 def _tidy_items(text: Column) -> Column:
-    return _if_has(text, [_GAP], F.regexp_replace(text, rf"{_GAP}[ \n]*", _SP))
+    out = F.regexp_replace(text, rf"[ \n]*{_LIST}[ \n]*{_ITEM}?", "\n\n")
+    out = F.regexp_replace(out, rf"[ \n]*{_ITEM}", "\n")
+    return _if_has(text, [_GAP, _LIST], F.regexp_replace(out, rf"{_GAP}[ \n]*", _SP))
 
 
 def _tidy_spaces(text: Column) -> Column:
