@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalog.derived import derived, table
+from catalog import derived as inputs
+from catalog.derived import table
 from pagepress import config
 from pagepress.functions import cleaners as clean
 from pagepress.functions import content, elements, flight, formatting, metadata
 from pagepress.functions.markdown import fenced_code, inline_code, with_markdown
-from pagepress.functions.text import trim, word_count
+from pagepress.functions.text import column_of, trim, word_count
 from pagepress.functions.urls import normalize_url, split_url, with_scheme
 from pagepress.operators import snapshots, throttle
 from pagepress.plans import documents as plans
-from pagepress.sources.pages import accepted, scan_pages, url_error, with_errors
+from pagepress.sources.pages import accepted, scan_pages, spread, url_error, with_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,20 +27,26 @@ WORD_CAP = 100
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_pages(spark, f"{sf_dir}/pages.parquet", spread=True)
+    return spread(scan_pages(spark, f"{sf_dir}/pages.parquet"))
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived input; the ones with whole texts or pages are spread like the page table."""
+    df = inputs.derived(spark, sf_dir, name)
+    return spread(df) if name in ("d_md", "d_flight", "d_rich", "d_html") else df
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).withColumn("url_key", normalize_url(F.col("url")))
+    return _pages(spark, sf_dir).withColumn("url_key", column_of(normalize_url, "url"))
 
 
 def _column(name: str, out: str, fn: Callable[[Column], Column], source: str, key: str = "k") -> Query:
     """Query that applies one Column function to a derived input."""
-    return lambda spark, sf: derived(spark, sf, source).select(key, fn(F.col(name)).alias(out))
+    return lambda spark, sf: derived(spark, sf, source).select(key, column_of(fn, name).alias(out))
 
 
 def _page_column(out: str, fn: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf: _pages(spark, sf).select("page_id", fn(F.col("html")).alias(out))
+    return lambda spark, sf: _pages(spark, sf).select("page_id", column_of(fn, "html").alias(out))
 
 
 def _head(c: str = "html") -> Column:
@@ -100,7 +107,7 @@ def url_ports(spark, sf):
 
 def dedup_pages(spark, sf):
     pages = derived(spark, sf, "d_snapshot").select(
-        F.col("k").alias("page_id"), normalize_url(F.col("url")).alias("url_key"), "created_at"
+        F.col("k").alias("page_id"), column_of(normalize_url, "url").alias("url_key"), "created_at"
     )
     # Every seventh page is crawled again as the one before it, so that keys do collide.
     again = pages.where("page_id % 7 = 0").select(
@@ -117,7 +124,7 @@ def resolve_links(spark, sf):
 
 def absolute_links(spark, sf):
     return _keyed(spark, sf).select(
-        "page_id", elements.absolutize_links(F.col("html"), F.col("url_key")).alias("html")
+        "page_id", column_of(elements.absolutize_links, "html", "url_key").alias("html")
     )
 
 
@@ -414,7 +421,7 @@ def page_documents(spark, sf):
 def _snapshots(spark, sf):
     """A snapshot table that covers the pages with an even id."""
     stored = derived(spark, sf, "d_snapshot").where("k % 2 = 0").select(
-        normalize_url(F.col("url")).alias("url_key"),
+        column_of(normalize_url, "url").alias("url_key"),
         F.concat(F.lit("doc "), F.col("k").cast("string")).alias("document"),
         "created_at",
         F.col("k").alias("page_id"),
@@ -426,7 +433,7 @@ def _snapshots(spark, sf):
 
 def snapshot_lookup(spark, sf):
     requests = derived(spark, sf, "d_snapshot").select(
-        F.col("k").alias("page_id"), normalize_url(F.col("url")).alias("url_key")
+        F.col("k").alias("page_id"), column_of(normalize_url, "url").alias("url_key")
     )
     return snapshots.lookup(requests, _snapshots(spark, sf), NOW).select(
         "page_id", "url_key", "document", "cache"
@@ -435,7 +442,7 @@ def snapshot_lookup(spark, sf):
 
 def snapshot_upsert(spark, sf):
     new = derived(spark, sf, "d_snapshot").where("k % 3 = 0").select(
-        normalize_url(F.col("url")).alias("url_key"),
+        column_of(normalize_url, "url").alias("url_key"),
         F.concat(F.lit("new "), F.col("k").cast("string")).alias("document"),
         F.lit(NOW).cast("long").alias("created_at"),
         F.col("k").alias("page_id"),

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress import config
-from pagepress.functions.text import NON_SPACE, SPACE, WS, WS_IN_LINE, let, scan_strings, trim
+from pagepress.functions.text import NON_SPACE, SPACE, WS, WS_IN_LINE, column_of, let, scan_strings, trim, trim_end
 
 _EOL = r"[\n\r\x{2028}\x{2029}]"
 _LINE_START = rf"(?:\A|(?<={_EOL}))"
@@ -61,23 +61,61 @@ def _phrase_pattern(phrases: list[str]) -> str:
 
 
 def remove_navigation_links(md: Column) -> Column:
+    out = md
     for texts in (config.SKIP_LINK_TEXTS, config.TOP_LINK_TEXTS):
-        md = F.regexp_replace(md, _link_pattern(texts), "")
-    return md
+        out = F.regexp_replace(out, _link_pattern(texts), "")
+    return F.when(F.contains(md, F.lit("](#")), out).otherwise(md)
+
+
+def _replace_phrases(md: Column, phrases: list[str]) -> Column:
+    # Every phrase holds its longest word, so a text without any of these words has no phrase.
+    needed = list(dict.fromkeys(max(p.split(" "), key=len) for p in phrases))
+    replaced = F.regexp_replace(md, _phrase_pattern(phrases), "\n")
+
+    def has_word(low: Column) -> Column:
+        found = F.contains(low, F.lit(needed[0]))
+        for word in needed[1:]:
+            found = found | F.contains(low, F.lit(word))
+        return found
+
+    return F.when(let(F.lower(md), has_word), replaced).otherwise(md)
 
 
 def remove_navigation_phrases(md: Column) -> Column:
-    for phrases in (config.NAVIGATION_PHRASES, config.COPY_PHRASES):
-        md = F.regexp_replace(md, _phrase_pattern(phrases), "\n")
-    return md
+    return let(remove_page_phrases(md), remove_copy_phrases)
+
+
+def remove_page_phrases(md: Column) -> Column:
+    return _replace_phrases(md, config.NAVIGATION_PHRASES)
+
+
+def remove_copy_phrases(md: Column) -> Column:
+    return _replace_phrases(md, config.COPY_PHRASES)
 
 
 def remove_blank_lines(md: Column) -> Column:
-    return F.regexp_replace(md, rf"\A{SPACE}*[\r\n]|({_EOL}){SPACE}*[\r\n]", "$1")
+    """Drop blank lines; what follows the last newline stays.
+
+    Lines are taken apart where only ``\\n`` ends a line, the usual case; the pattern covers
+    the other line terminators.
+    """
+    lines = F.split(md, "\n")
+    kept = let(
+        lines,
+        lambda ls: F.array_join(
+            F.filter(ls, lambda line, i: (trim(line) != "") | (i == F.size(ls) - 1)), "\n"
+        ),
+    )
+    other = F.contains(md, F.lit("\r")) | F.contains(md, F.lit("\u2028")) | F.contains(md, F.lit("\u2029"))
+    return F.when(
+        other, F.regexp_replace(md, rf"\A{SPACE}*[\r\n]|({_EOL}){SPACE}*[\r\n]", "$1")
+    ).otherwise(kept)
 
 
 def remove_navigation_aids(md: Column) -> Column:
-    return remove_blank_lines(remove_navigation_phrases(remove_navigation_links(md)))
+    """Links, phrases and blank lines in one expression, for use on its own."""
+    links = let(md, remove_navigation_links)
+    return let(let(let(links, remove_page_phrases), remove_copy_phrases), remove_blank_lines)
 
 
 def remove_empty_links(md: Column) -> Column:
@@ -190,14 +228,42 @@ def collapse_headings(md: Column) -> Column:
 
 
 def fix_code_fences(md: Column) -> Column:
-    """Move a stray language name or file path in front of a fence into the fence."""
+    """Move a stray language name or file path in front of a bare fence into the fence.
+
+    Only the last non-blank line before a fence matters, so the text is split at the fences and
+    just those lines are looked at. Blank lines between name and fence go too.
+    """
     lang = "|".join(config.CODE_LANGUAGES)
-    path = rf"(?:[\w\-./]+\.)?({lang})(?!\w)"
-    fixed = md
-    for middle in (
-        rf"({lang})\n", rf"({lang})\n\n", rf"{path}\n", rf"{path}\n\n", rf"{path}{SPACE}*",
-    ):
-        fixed = F.regexp_replace(fixed, rf"{_LINE_START}{middle}```\n", "```$1\n")
+    name = rf"{_LINE_START}(?:[\w\-./]+\.)?({lang})\z"
+
+    def before_fence(piece: Column) -> Column:
+        def move(text: Column) -> Column:
+            line = F.substring_index(text, "\n", -1)
+            found = F.struct(
+                F.regexp_extract(line, name, 0).alias("name"),
+                F.regexp_extract(line, name, 1).alias("lang"),
+            )
+            return let(
+                found,
+                lambda m: F.when(m["name"] == "", F.concat(piece, F.lit("```\n"))).otherwise(
+                    F.concat(
+                        F.left(text, F.length(text) - F.length(m["name"])),
+                        F.lit("```"), m["lang"], F.lit("\n"),
+                    )
+                ),
+            )
+
+        return let(trim_end(piece), move)
+
+    fixed = let(
+        F.split(md, "```\n"),
+        lambda ps: F.array_join(
+            F.transform(
+                ps, lambda p, i: F.when(i == F.size(ps) - 1, p).otherwise(before_fence(p))
+            ),
+            "",
+        ),
+    )
     return F.when(F.contains(md, F.lit("```\n")), fixed).otherwise(md)
 
 
@@ -218,7 +284,10 @@ def collapse_newlines(md: Column) -> Column:
 # pattern that finds nothing.
 CLEANERS = [
     escape_newlines_in_links,
-    remove_navigation_aids,
+    remove_navigation_links,
+    remove_page_phrases,
+    remove_copy_phrases,
+    remove_blank_lines,
     remove_empty_links,
     strip_inline_links,
     remove_edit_markers,
@@ -235,5 +304,5 @@ CLEANERS = [
 def clean_markdown(df: DataFrame, md: str = "markdown") -> DataFrame:
     """All cleaners in order on one column."""
     for cleaner in CLEANERS:
-        df = df.withColumn(md, cleaner(F.col(md)))
+        df = df.withColumn(md, column_of(cleaner, md))
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress import config
-from pagepress.functions.text import last_index, let
+from pagepress.functions.text import column_of, last_index, let
 
 
 def container(html: Column, tag: str) -> Column:
@@ -89,7 +89,7 @@ def with_main_content(
 ) -> DataFrame:
     """Container, footer cut and size cap in one go."""
     return (
-        df.withColumn(out, extract_container(F.col(html)))
-        .withColumn(out, cut_footer(F.col(out)))
+        df.withColumn(out, column_of(extract_container, html))
+        .withColumn(out, column_of(cut_footer, out))
         .withColumn(out, cap_html(F.col(out), cap))
     )

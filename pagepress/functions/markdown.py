@@ -17,7 +17,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress.functions.elements import _ATTRS
-from pagepress.functions.text import let, replace_many, scan_strings
+from pagepress.functions.text import column_of, let, replace_many, scan_strings
 
 # Held characters: space, newline, "<", ">", heading mark, gap behind a bullet, start of an item,
 # start of a list.
@@ -478,5 +478,5 @@ def with_markdown(df: DataFrame, html: str, out: str = "markdown") -> DataFrame:
     """Add the raw markdown of an HTML column; ``""`` stays ``""``, NULL stays NULL."""
     df = df.withColumn(out, F.col(html))
     for step in RENDER_STEPS:
-        df = df.withColumn(out, step(F.col(out)))
+        df = df.withColumn(out, column_of(step, out))
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress import config
-from pagepress.functions.text import blank_to_null, first_text, let, trim
+from pagepress.functions.text import blank_to_null, first_text, let, memo, trim
 from pagepress.functions.urls import resolve_url
 
 # --- Fixed values: patterns that decide what counts as a tag ------------------
@@ -119,45 +119,57 @@ def jsonld_fields(text: Column) -> Column:
     )
 
 
+@memo
+def _head_columns(html: str) -> dict[str, Column]:
+    return {"__head": head_slice(F.col(html)), "__ld_text": jsonld_text(F.col(html))}
+
+
+@memo
+def _tag_columns() -> dict[str, Column]:
+    head = F.col("__head")
+    return {
+        "__ld": jsonld_fields(F.col("__ld_text")),
+        "__og_title": blank_to_null(meta(head, "og:title")),
+        "__tag_title": blank_to_null(title_tag(head)),
+        "__description": blank_to_null(meta(head, "description")),
+    }
+
+
+@memo
+def _metadata_columns(url: str) -> dict[str, Column]:
+    head, ld = F.col("__head"), F.col("__ld")
+    return {
+        "title": F.coalesce(
+            F.col("__og_title"),
+            blank_to_null(meta(head, "twitter:title")),
+            F.col("__tag_title"),
+            F.lit(""),
+        ),
+        "description": F.coalesce(
+            F.col("__description"), blank_to_null(meta(head, "og:description")), F.lit("")
+        ),
+        "metadata": F.struct(
+            F.coalesce(F.col("__og_title"), F.col("__tag_title")).alias("title"),
+            F.col("__description").alias("description"),
+            language(head).alias("language"),
+            canonical(head, F.col(url)).alias("canonical"),
+            F.coalesce(blank_to_null(meta(head, "author")), ld["author"]).alias("author"),
+            keywords(head).alias("keywords"),
+            blank_to_null(meta(head, "og:type")).alias("og_type"),
+            blank_to_null(meta(head, "og:site_name")).alias("og_site_name"),
+            ld["date_published"].alias("date_published"),
+            ld["date_modified"].alias("date_modified"),
+            ld["publisher"].alias("publisher"),
+            F.coalesce(blank_to_null(meta(head, "og:image")), ld["image"]).alias("image"),
+        ),
+    }
+
+
 def with_metadata(df: DataFrame, html: str = "html", url: str = "url_key") -> DataFrame:
     """Add ``title``, ``description`` and a ``metadata`` struct to a page table."""
-    head, ld = F.col("__head"), F.col("__ld")
     return (
-        df.withColumns({"__head": head_slice(F.col(html)), "__ld_text": jsonld_text(F.col(html))})
-        .withColumns(
-            {
-                "__ld": jsonld_fields(F.col("__ld_text")),
-                "__og_title": blank_to_null(meta(head, "og:title")),
-                "__tag_title": blank_to_null(title_tag(head)),
-                "__description": blank_to_null(meta(head, "description")),
-            }
-        )
-        .withColumns(
-            {
-                "title": F.coalesce(
-                    F.col("__og_title"),
-                    blank_to_null(meta(head, "twitter:title")),
-                    F.col("__tag_title"),
-                    F.lit(""),
-                ),
-                "description": F.coalesce(
-                    F.col("__description"), blank_to_null(meta(head, "og:description")), F.lit("")
-                ),
-                "metadata": F.struct(
-                    F.coalesce(F.col("__og_title"), F.col("__tag_title")).alias("title"),
-                    F.col("__description").alias("description"),
-                    language(head).alias("language"),
-                    canonical(head, F.col(url)).alias("canonical"),
-                    F.coalesce(blank_to_null(meta(head, "author")), ld["author"]).alias("author"),
-                    keywords(head).alias("keywords"),
-                    blank_to_null(meta(head, "og:type")).alias("og_type"),
-                    blank_to_null(meta(head, "og:site_name")).alias("og_site_name"),
-                    ld["date_published"].alias("date_published"),
-                    ld["date_modified"].alias("date_modified"),
-                    ld["publisher"].alias("publisher"),
-                    F.coalesce(blank_to_null(meta(head, "og:image")), ld["image"]).alias("image"),
-                ),
-            }
-        )
+        df.withColumns(_head_columns(html))
+        .withColumns(_tag_columns())
+        .withColumns(_metadata_columns(url))
         .drop("__head", "__ld", "__ld_text", "__og_title", "__tag_title", "__description")
     )

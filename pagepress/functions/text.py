@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the whitespace set of ECMAScript `\s`, spelled out because the Java `\s` is ASCII
@@ -19,6 +21,30 @@ SPACE = f"[{WS}]"
 NON_SPACE = rf"(?!{SPACE})[\s\S]"
 
 
+def memo(build: Callable) -> Callable:
+    """Keep what ``build`` returns for the same (hashable) arguments.
+
+    An unresolved expression over column names can be used in any number of plans. Putting a
+    large one together takes a call into the JVM per node, so that is done once per session.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def wrapped(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapped
+
+
+@memo
+def column_of(fn: Callable[..., Column], *names: str) -> Column:
+    """``fn`` applied to the columns with these names, built once."""
+    return fn(*[F.col(name) for name in names])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -35,6 +61,10 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(_WS_CHARS))
 
 
+def trim_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(_WS_CHARS))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

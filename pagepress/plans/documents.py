@@ -18,13 +18,22 @@ from pagepress.functions.formatting import (
 )
 from pagepress.functions.markdown import with_markdown
 from pagepress.functions.metadata import with_metadata
-from pagepress.functions.text import word_count
+from pagepress.functions.text import column_of, memo, word_count
 from pagepress.functions.urls import normalize_url
 
 
 def html_to_markdown(df: DataFrame, html: str, out: str = "markdown") -> DataFrame:
     """Render an HTML column and run all cleaners."""
-    return clean_markdown(with_markdown(df, html, out), out)
+    # One working name for every caller, so that the expressions are put together only once.
+    df = clean_markdown(with_markdown(df, html, "__md"), "__md")
+    return df.withColumn(out, F.col("__md")).drop("__md")
+
+
+@memo
+def _fallback_input(html: str, md: str, min_words: int) -> Column:
+    return F.when(
+        word_count(F.col(md)) < min_words, F.nullif(flight_html(F.col(html)), F.lit(""))
+    )
 
 
 def with_sparse_fallback(
@@ -35,10 +44,7 @@ def with_sparse_fallback(
     The fallback input is NULL for all other pages, and every step passes NULL through, so
     the second rendering costs next to nothing for them.
     """
-    df = df.withColumn(
-        "__flight",
-        F.when(word_count(F.col(md)) < min_words, F.nullif(flight_html(F.col(html)), F.lit(""))),
-    )
+    df = df.withColumn("__flight", _fallback_input(html, md, min_words))
     df = html_to_markdown(df, "__flight", "__flight_md")
     return df.withColumn(md, F.coalesce(F.col("__flight_md"), F.col(md))).drop(
         "__flight", "__flight_md"
@@ -49,30 +55,27 @@ def extract(df: DataFrame, url: str = "url_key", html: str = "html") -> DataFram
     """Add ``title, description, metadata, markdown`` to pages with a normalized URL."""
     df = with_metadata(df, html, url)
     df = with_main_content(df, html, "__content")
-    df = df.withColumn("__content", strip_elements(F.col("__content")))
-    df = df.withColumn("__content", absolutize_links(F.col("__content"), F.col(url)))
+    df = df.withColumn("__content", column_of(strip_elements, "__content"))
+    df = df.withColumn("__content", column_of(absolutize_links, "__content", url))
     df = html_to_markdown(df, "__content").drop("__content")
     df = with_sparse_fallback(df, html)
-    return df.withColumn("markdown", cap_words(F.col("markdown")))
+    return df.withColumn("markdown", column_of(cap_words, "markdown"))
 
 
-def format_rows(df: DataFrame, url: str = "url_key") -> DataFrame:
-    """Add ``document``: metadata header, word count and body."""
+@memo
+def _document(url: str) -> Column:
+    header = metadata_header(F.col(url), F.col("title"), F.col("description"), F.col("metadata"))
+    return format_document(header, F.col("__body"))
 
-    def header() -> Column:
-        return metadata_header(
-            F.col(url), F.col("title"), F.col("description"), F.col("metadata")
-        )
 
-    return (
-        df.withColumn("__body", document_body(F.col("markdown")))
-        .withColumn("document", format_document(header(), F.col("__body")))
-        .drop("__body")
-    )
+def format_rows(df: DataFrame, url: str = "url_key") -> DataFrame:
+    """Add ``document``: metadata header, word count and body."""
+    df = df.withColumn("__body", document_body(F.col("markdown")))
+    return df.withColumn("document", _document(url)).drop("__body")
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
     """``page_id, url, html`` in; ``page_id, url_key, title, description, metadata, markdown,
     document`` out."""
-    keyed = pages.select("page_id", normalize_url(F.col("url")).alias("url_key"), "html")
+    keyed = pages.select("page_id", column_of(normalize_url, "url").alias("url_key"), "html")
     return format_rows(extract(keyed)).drop("html")

@@ -9,17 +9,18 @@ from pagepress import config
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def scan_pages(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Batch scan of a crawl table; unused columns are never read.
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute the rows of a table that has fewer splits than there are cores.
 
-    ``spread`` redistributes the rows when the table has fewer splits than there are cores,
-    which only happens for small tables: rendering costs far more than moving a page once.
+    That only happens for small tables: rendering costs far more than moving a page once.
     """
-    pages = spark.read.parquet(path).select("page_id", "url", "html")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
-    return pages
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scan_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Batch scan of a crawl table; unused columns are never read."""
+    return spark.read.parquet(path).select("page_id", "url", "html")
 
 
 def stream_pages(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
