@@ -56,7 +56,7 @@ def _phrase_pattern(phrases: list[str]) -> str:
     options = "|".join(p.replace(" ", glue + "*") for p in phrases)
     initials = "".join(sorted({p[0] for p in phrases}))
     return (
-        rf"(?i)(?:\G(?:\A|(?<={_EOL}))|{glue}++)(?=[{initials}])(?:{options})(?:{_LINE_END}|{glue}++)"
+        rf"(?i)(?:\G(?:\A|(?<={_EOL}))|(?<!{glue}){glue}++)(?=[{initials}])(?:{options})(?:{_LINE_END}|{glue}++)"
     )
 
 

@@ -143,7 +143,7 @@ def is_excluded(token: Column) -> Column:
     ).otherwise(False)
 
 
-_MAY_MATCH = "<(?i:(?:{tags})\\b|[a-z][^>]*\\s(?:class|id|{attrs})\\b)".format(
+_MAY_MATCH = "<(?i:{tags})\\b|\\s(?i:class|id|{attrs})\\b".format(
     tags="|".join(_names("tag")), attrs="|".join(dict.fromkeys(_names("attr")))
 )
 
@@ -213,9 +213,9 @@ def _kept_runs(marks: Column, total: Column) -> Column:
     )
 
 
-def _strip(toks: Column) -> Column:
-    foreign = F.exists(toks, lambda t: (t["kind"] == "open") & t["tag"].isin("svg", "math"))
-    marks = F.filter(
+def _marks(toks: Column, foreign: Column) -> Column:
+    """Tag tokens as ``struct<at, kind, tag, void, excluded>``."""
+    return F.filter(
         F.transform(
             toks,
             lambda t, i: F.struct(
@@ -232,25 +232,26 @@ def _strip(toks: Column) -> Column:
         ),
         lambda m: m["tag"].isNotNull(),
     )
-    text = let(
-        marks,
-        lambda ms: F.when(
+
+
+def _strip(toks: Column) -> Column:
+    """Text without the excluded elements; NULL when none is there."""
+    # Only inside svg or math does "/>" close an element. Looked up once, not per token.
+    foreign = F.exists(toks, lambda t: (t["kind"] == "open") & t["tag"].isin("svg", "math"))
+
+    def kept_text(ms: Column) -> Column:
+        def run_text(r: Column) -> Column:
+            texts = F.transform(
+                F.slice(toks, r["start"] + 1, r["stop"] - r["start"]), lambda t: t["text"]
+            )
+            return F.array_join(texts, "")
+
+        return F.when(
             F.exists(ms, lambda m: m["excluded"]),
-            F.array_join(
-                F.transform(
-                    _kept_runs(ms, F.size(toks)),
-                    lambda r: F.array_join(
-                        F.transform(
-                            F.slice(toks, r["start"] + 1, r["stop"] - r["start"]), lambda t: t["text"]
-                        ),
-                        "",
-                    ),
-                ),
-                "",
-            ),
-        ),
-    )
-    return text
+            F.array_join(F.transform(_kept_runs(ms, F.size(toks)), run_text), ""),
+        )
+
+    return let(let(foreign, lambda f: _marks(toks, f)), kept_text)
 
 
 def strip_elements(html: Column) -> Column:
@@ -260,9 +261,10 @@ def strip_elements(html: Column) -> Column:
     ).otherwise(html)
 
 
-_BEFORE = r"""(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'/])"""
+# Up to the wanted attribute; every loop is possessive, so a long tag cannot exhaust the stack.
+BEFORE_ATTR = r"""(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s++(?!{name}\s*=))*+\s++{name}\s*="""
 _LINK = (
-    rf"(?is)\A(<(?:(?:a|link)[\s/]{_BEFORE}href|img[\s/]{_BEFORE}src)\s*=\s*)"
+    rf"(?is)\A(<(?:(?:a|link)(?=[\s/]){BEFORE_ATTR.format(name='href')}|img(?=[\s/]){BEFORE_ATTR.format(name='src')})\s*)"
     r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 )
 

@@ -16,7 +16,7 @@ from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagepress.functions.elements import _ATTRS
+from pagepress.functions.elements import _ATTRS, BEFORE_ATTR
 from pagepress.functions.text import column_of, let, replace_many, scan_strings
 
 # Held characters: space, newline, "<", ">", heading mark, gap behind a bullet, start of an item,
@@ -241,7 +241,7 @@ def _quotes(text: Column) -> Column:
         body = F.regexp_replace(F.regexp_replace(piece, mark, ""), r"\A[ \n]+|[ \n]+\z", "")
         prefix = F.concat(F.repeat(F.lit(_GT), depth), F.lit(_SP))
         lined = F.regexp_replace(
-            F.concat(prefix, F.regexp_replace(body, r"(\n *)+", "\n")), F.lit("\n"), F.concat(F.lit("\n"), prefix)
+            F.concat(prefix, F.regexp_replace(body, r"\n[\n ]*", "\n")), F.lit("\n"), F.concat(F.lit("\n"), prefix)
         )
         return F.when(
             depth > 0, F.concat(F.lit("\n\n"), F.when(body != "", lined).otherwise(""), F.lit("\n\n"))
@@ -304,8 +304,8 @@ def _encode_link_targets(html: Column) -> Column:
 
 def _links(html: Column) -> Column:
     href = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    head = r"""(?is)<a\b(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*="""
-    tail = r"""(?:[^>"']|"[^"]*"|'[^']*')*>"""
+    head = rf"(?is)<a\b{BEFORE_ATTR.format(name='href')}"
+    tail = _ATTRS + ">"
     same = F.regexp_replace(html, rf'{head}\s*"([^"]+)"{tail}\1</a\s*>', f"{_LT}$1{_GT}")
     linked = F.regexp_replace(same, rf"{head}\s*{href}{tail}({_inside('a')})</a\s*>", "[$4]($1$2$3)")
     empty = F.regexp_replace(linked, r"\[([^\[\]]*)\]\(\)", "$1")
@@ -443,18 +443,19 @@ def _blocks(html: Column) -> Column:
 
 
 def _tidy_lines(text: Column) -> Column:
-    return F.regexp_replace(_strip_tags(text), r" *\n *", "\n")
+    # The lookbehind keeps a long run of spaces from being tried once per space.
+    return F.regexp_replace(_strip_tags(text), r"(?<! ) *+\n *", "\n")
 
 
 def _tidy_breaks(text: Column) -> Column:
     """A break at the end of a block disappears."""
-    out = F.regexp_replace(text, rf"(?: *{_SP}{_SP}{_NL} *)+(?=\n|\z)", "")
-    return _if_has(text, [_NL], F.regexp_replace(out, rf" *({_SP}{_SP}{_NL}) *", "$1"))
+    out = F.regexp_replace(text, rf"(?<! ) *+({_SP}{_SP}{_NL}) *", "$1")
+    return _if_has(text, [_NL], F.regexp_replace(out, rf"(?<!{_NL})(?:{_SP}{_SP}{_NL})++(?=\n|\z)", ""))
 
 
 def _tidy_items(text: Column) -> Column:
-    out = F.regexp_replace(text, rf"[ \n]*{_LIST}[ \n]*{_ITEM}?", "\n\n")
-    out = F.regexp_replace(out, rf"[ \n]*{_ITEM}", "\n")
+    out = F.regexp_replace(text, rf"(?<![ \n])[ \n]*+{_LIST}[ \n]*{_ITEM}?", "\n\n")
+    out = F.regexp_replace(out, rf"(?<![ \n])[ \n]*+{_ITEM}", "\n")
     return _if_has(text, [_GAP, _LIST], F.regexp_replace(out, rf"{_GAP}[ \n]*", _SP))
 
 
