@@ -460,9 +460,9 @@ def incremental_documents(spark, sf):
 
 
 def _events(spark, sf):
-    return table(spark, sf, "events").select(
-        "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second")
-    )
+    # ``ts`` has no zone; its seconds count as UTC whatever the zone of the session is.
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return table(spark, sf, "events").select("event_id", "event_type", F.unix_seconds(utc).alias("second"))
 
 
 def cache_hits(spark, sf):
