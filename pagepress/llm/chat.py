@@ -121,3 +121,29 @@ def digests(formatted: DataFrame) -> DataFrame:
         "escaped",
         "identical",
     )
+
+
+# Digests of the source; the length of the formatted string from the same escapes and marks.
+ORACLE_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as who, coalesce(text, '') as said from conversations
+  union all
+  select -7, t, case t when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from (values (0), (1)) v(t)
+),
+marked as (
+  select *, len(regexp_extract_all(said, '[<\[]\\\\*(/?s>|/?SYS>>|/?INST\]|\|[a-z_]{1,32}\|>)')) controls,
+    regexp_matches(said, '[<\[]\\\\*(/?s>|/?SYS>>|/?INST\]|\|[a-z_]{1,32}\|>)') conflict
+  from rows
+),
+conversation as (
+  select conv_id, bool_or(conflict) conflict, count(*) n_turns,
+    string_agg(who || chr(10) || said || chr(10), '' order by turn, who, said) turns,
+    coalesce(string_agg(said, '' order by turn, who, said) filter (where who = 'assistant'), '') loss,
+    sum(len('<|turn|>' || url_encode(who) || chr(10) || said || '</s>' || chr(10))) plain, sum(controls) controls
+  from marked group by conv_id
+)
+select conv_id, n_turns, sha256(turns) turns_sha256, len(loss) loss_chars, sha256(loss) loss_sha256,
+  cast(plain + case when conflict then controls else 0 end as bigint) formatted_chars,
+  cast(conflict as int) escaped, true identical
+from conversation
+"""

@@ -26,6 +26,7 @@ STEPS, BATCH, RATE = 500, 128, 0.02
 BLOCK = 1 << 14  # positions worked on together
 PAD = max(WIDTHS)
 UNKNOWN = "und"
+HELD_OUT, FOLDS = 2, 4
 
 
 class Network:
@@ -164,8 +165,8 @@ def labelled_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
 
 
 def fit(docs: DataFrame) -> Network:
-    """Learn from text and language of the documents whose id remainder (crc32 modulo 4) is not 2."""
-    return train(labelled_sample(docs.filter(id_remainder("doc_id", 4) != 2).select("doc_id", "text", "lang")))
+    """Learn from text and language of the documents outside the held-out fold, by crc32 of the id."""
+    return train(labelled_sample(docs.filter(id_remainder("doc_id", FOLDS) != HELD_OUT).select("doc_id", "text", "lang")))
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:

@@ -20,7 +20,7 @@ Steps, each over all lines:
    which holds the length filter), and 64-bit parity maps of the sets bound the difference from below.
 5. Candidates are verified by the Jaccard similarity of the tokens themselves.
 
-Decisions are line numbers, gathered for each document. They are joined to the documents, as a
+Decisions are line numbers, kept as bits for each document. They are joined to the documents, as a
 broadcast if counted to be small, else by a shuffle.
 """
 
@@ -37,9 +37,8 @@ _FLIP = 0x5A5A5A5A5A5A5A5A
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash")
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _small(table: DataFrame, bytes_a_row: int, items: Column) -> DataFrame:
@@ -49,31 +48,37 @@ def _small(table: DataFrame, bytes_a_row: int, items: Column) -> DataFrame:
 
 
 def _by_document(places: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no) to an array of line numbers for each document."""
-    listed = places.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
-    return cut(listed)
+    """(doc_id, text_hash, line_no) to ``gone`` for each document: a bit for each line number, in longs."""
+    word, bit = F.floor(F.col("line_no") / 64).cast("int"), (F.col("line_no") % 64).cast("int")
+    set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = places.groupBy("doc_id", "text_hash", word.alias("word")).agg(F.bit_or(set_bit).alias("bits"))
+    mapped = words.groupBy("doc_id", "text_hash").agg(
+        F.max("word").alias("last"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by_word")
+    )
+    dense = F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.element_at("by_word", w), F.lit(0).cast("long")))
+    return cut(mapped.select("doc_id", "text_hash", dense.alias("gone")))
 
 
 def _attach(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """The documents with an array of line numbers, empty where the table has none."""
-    side = _small(table, 96, F.size("line_nos")).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("line_nos").alias("_nos")
+    """The documents with the table's bits, null where it has none."""
+    side = _small(table, 96, F.size("gone")).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias(name)
     )
-    joined = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    empty = F.array().cast("array<int>")
-    return joined.withColumn(name, F.coalesce("_nos", empty)).drop("_id", "_hash", "_nos")
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    return docs.join(side, met, "left").drop("_id", "_hash")
 
 
-def _numbers(text_lines: Column, gone: Column) -> Column:
-    return F.array_except(F.sequence(F.lit(0), F.size(text_lines) - 1), gone)
+def _marked(bits: str, line_no: Column) -> Column:
+    """Whether a line's bit is set."""
+    word = F.get(F.col(bits), F.floor(line_no / 64).cast("int"))
+    return F.coalesce(F.getbit(word, (line_no % 64).cast("int")) == 1, F.lit(False))
 
 
-def _lines(docs: DataFrame, *extra: str) -> DataFrame:
-    """A row for each line that is not in ``gone``."""
-    texts = F.split("text", "\n")
-    kept = F.transform(_numbers(texts, F.col("gone")), lambda i: F.struct(i.alias("line_no"), F.get(texts, i).alias("line")))
-    rows = docs.withColumn("_line", F.explode(kept)).select("doc_id", "text_hash", *extra, "_line.line_no", "_line.line")
-    return rows.filter(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
+def _lines(docs: DataFrame, bits: str = "gone", *extra: str) -> DataFrame:
+    """A row for each line with tokens whose bit is not set."""
+    rows = docs.select("doc_id", "text_hash", bits, *extra, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    kept = rows.filter(~_marked(bits, F.col("line_no")) & F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
+    return kept if bits in extra else kept.drop(bits)
 
 
 def _tokens(line: Column) -> Column:
@@ -120,7 +125,7 @@ def _possible(nx: Column, ny: Column, bits_x: Column, bits_y: Column) -> Column:
 
 def _repeats(docs: DataFrame) -> DataFrame:
     """All occurrences of equal lines but the first."""
-    rows = _lines(docs.withColumn("gone", F.array().cast("array<int>")))
+    rows = _lines(docs.withColumn("gone", F.lit(None).cast("array<bigint>")))
     place = F.struct("doc_id", "text_hash", "line_no")
     marked = rows.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), place.alias("place"))
     firsts = marked.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -193,18 +198,24 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``line_nos`` (from 0) of the lines to remove, for each document with any."""
+    """``doc_id``, ``text_hash`` and ``gone`` (a bit for each line number) of the lines to remove, for each document with any."""
     texts = _keyed(docs)
     repeats = _by_document(_repeats(texts))
     distinct = _attach(texts, repeats, "gone")
     rank = _rarity(texts)
     sets = _with_sets(_lines(distinct), rank)
     settled = _by_document(_verified(_hub_candidates(sets), distinct))
-    flagged = _attach(distinct, settled, "settled_nos")
-    rows = _lines(flagged, "settled_nos").withColumn("settled", F.array_contains("settled_nos", F.col("line_no")))
-    found = _verified(_prefix_candidates(_with_sets(rows.drop("settled_nos"), rank)), distinct)
-    nos = lambda t: t.select("doc_id", "text_hash", F.explode("line_nos").alias("line_no"))
-    return _by_document(nos(repeats).unionByName(nos(settled)).unionByName(found))
+    flagged = _attach(distinct, settled, "settled_bits")
+    rows = _lines(flagged, "gone", "settled_bits").withColumn("settled", _marked("settled_bits", F.col("line_no")))
+    found = _verified(_prefix_candidates(_with_sets(rows.drop("settled_bits"), rank)), distinct)
+    every = _places(repeats).unionByName(_places(settled)).unionByName(found)
+    return _by_document(every)
+
+
+def _places(table: DataFrame) -> DataFrame:
+    last = F.size("gone") * 64 - 1
+    rows = table.select("doc_id", "text_hash", "gone", F.explode(F.sequence(F.lit(0), last)).alias("line_no"))
+    return rows.filter(_marked("gone", F.col("line_no"))).drop("gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -212,15 +223,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     All rows and further columns stay; a text whose lines are all removed is empty, a null text stays
     null. Rows that agree in doc_id and text are one document: the same lines go from each. A null
-    doc_id comes first in order. ``_removed`` holds the line numbers that went.
+    doc_id comes first in order. ``removed`` tells how many lines went; it and ``text_hash`` replace
+    columns of these names.
     """
-    keyed = docs.withColumn("text_hash", F.xxhash64("text")) if "text_hash" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("a column named text_hash is in the way")
-    joined = _attach(keyed, removed_lines(docs), "_removed").drop("text_hash")
-    texts = F.split("text", "\n")
-    left = F.array_join(F.transform(_numbers(texts, F.col("_removed")), lambda i: F.get(texts, i)), "\n")
-    out = joined.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text")))
+    kept = docs.drop("removed", "text_hash")
+    keyed = kept.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = _attach(keyed, removed_lines(kept), "_gone")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~_marked("_gone", i)), "\n")
+    removed = F.aggregate("_gone", F.lit(0), lambda acc, w: acc + F.bit_count(w))
+    out = joined.withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")))
+    out = out.withColumn("removed", F.coalesce(removed, F.lit(0)).cast("long")).drop("_gone")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out

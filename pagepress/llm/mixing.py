@@ -103,6 +103,6 @@ counted as (
   from draws d join steps s on d.source is not distinct from s.source
   group by all
 )
-select doc_id, source, lang, md5(coalesce(text, '')) text_md5, n_chars, cast(c as int) copy
+select doc_id, source, lang, n_chars, cast(c as int) copy, text
 from counted, unnest(range(1, copies + 1)) as t(c)
 """

@@ -143,3 +143,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         component.alias("component_id"),
         (F.col("vec_id") == component).alias("kept"),
     )
+
+
+# Links by the plain definition; reachability by walking to ever smaller labels.
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, x -> x <> 0)) > 0
+),
+links as (
+  select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.95
+),
+walk as (
+  select vec_id a, vec_id b from embeddings where vec_id is not null
+  union
+  select w.a, l.b from walk w join links l on w.b = l.a
+)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) n_links, c.component_id,
+  e.vec_id = c.component_id kept
+from embeddings e join (select a, min(b) component_id from walk group by a) c on c.a = e.vec_id
+"""
