@@ -131,8 +131,8 @@ with rows as (
   select -7, t, case t when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from (values (0), (1)) v(t)
 ),
 marked as (
-  select *, len(regexp_extract_all(said, '[<\[]\\\\*(/?s>|/?SYS>>|/?INST\]|\|[a-z_]{1,32}\|>)')) controls,
-    regexp_matches(said, '[<\[]\\\\*(/?s>|/?SYS>>|/?INST\]|\|[a-z_]{1,32}\|>)') conflict
+  select *, len(regexp_extract_all(said, '[<\[]\\*(/?s>|/?SYS>>|/?INST\]|\|[a-z_]{1,32}\|>)')) controls,
+    regexp_matches(said, '[<\[]\\*(/?s>|/?SYS>>|/?INST\]|\|[a-z_]{1,32}\|>)') conflict
   from rows
 ),
 conversation as (

@@ -150,8 +150,8 @@ ORACLE_SQL = """
 with recursive v as (
   select vec_id, cast(embedding as double[]) e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 links as (
   select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id
