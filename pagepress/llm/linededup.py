@@ -81,8 +81,13 @@ def _lines(docs: DataFrame, bits: str = "gone", *extra: str) -> DataFrame:
     return kept if bits in extra else kept.drop(bits)
 
 
+def _words(line: Column) -> Column:
+    """Tokens of a line that has some, repeats included."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACE)
+
+
 def _tokens(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, _SPACE), lambda t: t != ""))
+    return F.array_distinct(_words(line))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -105,7 +110,7 @@ def _with_sets(lines: DataFrame, rank: Column) -> DataFrame:
         place = F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
         return F.shiftleft(place, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
 
-    numbered = lines.withColumn("sorted", F.sort_array(F.transform(_tokens(F.col("line")), number)))
+    numbered = lines.withColumn("sorted", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), number))))
     one = F.lit(1).cast("long")
     flip = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int")))
     return numbered.select(
@@ -134,21 +139,29 @@ def _repeats(docs: DataFrame) -> DataFrame:
     return met.filter("place > first").select("place.*")
 
 
-def _hub_candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) of line hashes: each line with the earliest line under each of three keys."""
-    mixed = sets.withColumn("_mixed", F.transform("sorted", lambda t: F.xxhash64(t)))
-    flipped = F.transform("_mixed", lambda t: t.bitwiseXOR(F.lit(_FLIP)))
-    keys = F.array(
-        F.xxhash64(F.lit(1), F.array_min("_mixed")),
-        F.xxhash64(F.lit(2), F.array_max("_mixed")),
-        F.xxhash64(F.lit(3), F.array_min(flipped)),
-    )
-    own = F.struct("doc_id", "text_hash", "line_no", "h", "n", "bits")
-    rows = mixed.select(own.alias("own"), F.explode(keys).alias("key"))
+def _hub_candidates(lines: DataFrame) -> DataFrame:
+    """Pairs (later, earlier) of line hashes: each line with the earliest line under each of three keys.
+
+    The keys are least and largest hashes of the tokens. Pairs that share one key only, or whose numbers
+    of words are far apart, are left to the exact search.
+    """
+    hashed = lines.select(
+        "doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h"),
+        F.transform(_words(F.col("line")), lambda t: F.xxhash64(t)).alias("_hashes"),
+    )
+    flipped = F.transform("_hashes", lambda t: t.bitwiseXOR(F.lit(_FLIP)))
+    keyed = hashed.select(
+        "doc_id", "text_hash", "line_no", "h", F.size("_hashes").alias("words"),
+        F.array_min("_hashes").alias("k1"), F.array_max("_hashes").alias("k2"), F.array_min(flipped).alias("k3"),
+    )
+    own = F.struct("doc_id", "text_hash", "line_no", "h", "words", "k1", "k2", "k3")
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col(f"k{i}")) for i in (1, 2, 3)))
+    rows = keyed.select(own.alias("own"), F.explode(keys).alias("key"))
     hubs = rows.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     met = rows.join(hubs.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
-    close = _possible(F.col("hub.n"), F.col("own.n"), F.col("hub.bits"), F.col("own.bits"))
-    return met.filter((F.col("own.h") != F.col("hub.h")) & close).select(
+    shared = sum(F.when(F.col(f"own.k{i}") == F.col(f"hub.k{i}"), 1).otherwise(0) for i in (1, 2, 3))
+    few, many = F.least("own.words", "hub.words"), F.greatest("own.words", "hub.words")
+    return met.filter((F.col("own.h") != F.col("hub.h")) & (shared >= 2) & (5 * few >= 4 * many)).select(
         F.col("own.h").alias("later"), F.col("hub.h").alias("earlier")
     )
 
@@ -203,8 +216,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     repeats = _by_document(_repeats(texts))
     distinct = _attach(texts, repeats, "gone")
     rank = _rarity(texts)
-    sets = _with_sets(_lines(distinct), rank)
-    settled = _by_document(_verified(_hub_candidates(sets), distinct))
+    settled = _by_document(_verified(_hub_candidates(_lines(distinct)), distinct))
     flagged = _attach(distinct, settled, "settled_bits")
     rows = _lines(flagged, "gone", "settled_bits").withColumn("settled", _marked("settled_bits", F.col("line_no")))
     found = _verified(_prefix_candidates(_with_sets(rows.drop("settled_bits"), rank)), distinct)
