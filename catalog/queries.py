@@ -16,7 +16,7 @@ from pagepress.functions.text import column_of, trim, word_count
 from pagepress.functions.urls import normalize_url, split_url, with_scheme
 from pagepress.operators import snapshots, throttle
 from pagepress.plans import documents as plans
-from pagepress.sources.pages import accepted, scan_pages, spread, url_error, with_errors
+from pagepress.sources.pages import accepted, scan_pages, url_error, with_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,13 +27,13 @@ WORD_CAP = 100
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(scan_pages(spark, f"{sf_dir}/pages.parquet"))
+    return scan_pages(spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism)
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input; the ones with whole texts or pages are spread like the page table."""
+    """A derived input; the ones with whole texts or pages are dealt out like the page table."""
     df = inputs.derived(spark, sf_dir, name)
-    return spread(df) if name in ("d_md", "d_flight", "d_rich", "d_html") else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("d_md", "d_flight", "d_rich", "d_html") else df
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _page_column(out: str, fn: Callable[[Column], Column]) -> Query:
 
 
 def _head(c: str = "html") -> Column:
-    return metadata.head_slice(F.col(c))
+    return metadata.head_slice(F.col(c), config.HEAD_FALLBACK_CHARS)
 
 
 def page_scan(spark, sf):
@@ -334,7 +334,8 @@ def render_code(spark, sf):
 
 
 def clean_markdown(spark, sf):
-    return clean.clean_markdown(derived(spark, sf, "d_md").withColumnRenamed("md", "markdown"))
+    renamed = derived(spark, sf, "d_md").withColumnRenamed("md", "markdown")
+    return clean.clean_markdown(renamed, max_alt_text=config.MAX_ALT_TEXT)
 
 
 def flight_pages(spark, sf):
@@ -508,7 +509,7 @@ QUERIES: dict[str, Query] = {
     "resolve_links": resolve_links,
     "absolute_links": absolute_links,
     "canonical_mismatch": canonical_mismatch,
-    "head_slice": _page_column("head", metadata.head_slice),
+    "head_slice": _page_column("head", lambda h: metadata.head_slice(h, config.HEAD_FALLBACK_CHARS)),
     "meta_tags": meta_tags,
     "page_title": lambda spark, sf: _pages(spark, sf).select(
         "page_id", metadata.page_title(_head()).alias("title")

@@ -8,6 +8,7 @@ treat a final newline differently.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,11 +61,25 @@ def _phrase_pattern(phrases: list[str]) -> str:
     )
 
 
+def _up_to_last_paren(md: Column, change: Callable[[Column], Column]) -> Column:
+    """Change a text up to its last ``)``; what follows cannot hold a link's end.
+
+    A pattern that looks for the closing mark then always finds one, so it never runs to the end of
+    the text from every opening mark.
+    """
+    return let(
+        F.substring_index(md, ")", -1),
+        lambda tail: F.concat(change(F.left(md, F.length(md) - F.length(tail))), tail),
+    )
+
+
 def remove_navigation_links(md: Column) -> Column:
-    out = md
-    for texts in (config.SKIP_LINK_TEXTS, config.TOP_LINK_TEXTS):
-        out = F.regexp_replace(out, _link_pattern(texts), "")
-    return F.when(F.contains(md, F.lit("](#")), out).otherwise(md)
+    def change(out: Column) -> Column:
+        for texts in (config.SKIP_LINK_TEXTS, config.TOP_LINK_TEXTS):
+            out = F.regexp_replace(out, _link_pattern(texts), "")
+        return out
+
+    return F.when(F.contains(md, F.lit("](#")), _up_to_last_paren(md, change)).otherwise(md)
 
 
 def _replace_phrases(md: Column, phrases: list[str]) -> Column:
@@ -119,16 +134,23 @@ def remove_navigation_aids(md: Column) -> Column:
 
 
 def remove_empty_links(md: Column) -> Column:
-    return F.when(
-        F.contains(md, F.lit("](")), F.regexp_replace(md, rf"\[{SPACE}*\]\([^)]*\)", "")
-    ).otherwise(md)
+    def change(head: Column) -> Column:
+        return F.regexp_replace(head, rf"\[{SPACE}*+\]\([^)]*+\)", "")
+
+    return F.when(F.contains(md, F.lit("](")), _up_to_last_paren(md, change)).otherwise(md)
 
 
 def strip_inline_links(md: Column) -> Column:
-    """Links, and images too, become their text."""
-    return F.when(
-        F.contains(md, F.lit("](")), F.regexp_replace(md, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    ).otherwise(md)
+    """Links, and images too, become their text.
+
+    If a bracket gives no link, no bracket up to its closing mark does, so the second alternative
+    takes that whole run at once.
+    """
+
+    def change(head: Column) -> Column:
+        return F.regexp_replace(head, r"\[([^\]]++)\]\([^)]++\)|(\[[^\]]*+)", "$1$2")
+
+    return F.when(F.contains(md, F.lit("](")), _up_to_last_paren(md, change)).otherwise(md)
 
 
 def remove_edit_markers(md: Column) -> Column:
@@ -301,8 +323,11 @@ CLEANERS = [
 ]
 
 
-def clean_markdown(df: DataFrame, md: str = "markdown") -> DataFrame:
-    """All cleaners in order on one column."""
+def clean_markdown(df: DataFrame, md: str = "markdown", max_alt_text: int | None = None) -> DataFrame:
+    """All cleaners in order on one column; alt texts are cut only if a limit is given."""
     for cleaner in CLEANERS:
-        df = df.withColumn(md, column_of(cleaner, md))
+        if cleaner is not shorten_alt_text:
+            df = df.withColumn(md, column_of(cleaner, md))
+        elif max_alt_text is not None:
+            df = df.withColumn(md, shorten_alt_text(F.col(md), max_alt_text))
     return df

@@ -85,11 +85,9 @@ def cap_html(html: Column, cap: int = config.MAX_HTML_CHARS) -> Column:
 
 
 def with_main_content(
-    df: DataFrame, html: str = "html", out: str = "content", cap: int = config.MAX_HTML_CHARS
+    df: DataFrame, html: str = "html", out: str = "content", cap: int | None = None
 ) -> DataFrame:
-    """Container, footer cut and size cap in one go."""
-    return (
-        df.withColumn(out, column_of(extract_container, html))
-        .withColumn(out, column_of(cut_footer, out))
-        .withColumn(out, cap_html(F.col(out), cap))
-    )
+    """Container and footer cut in one go; pages are whole unless a size cap is asked for."""
+    df = df.withColumn(out, column_of(extract_container, html))
+    df = df.withColumn(out, column_of(cut_footer, out))
+    return df if cap is None else df.withColumn(out, cap_html(F.col(out), cap))

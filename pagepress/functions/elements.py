@@ -12,9 +12,9 @@ from pagepress import config
 from pagepress.functions.text import WS, let
 from pagepress.functions.urls import resolve_url
 
-# Attributes inside a tag: quoted values may hold ">". Possessive, so that long tags
-# neither backtrack nor recurse.
-_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# Attributes inside a tag: quoted values may hold ">". A quote opens a value only right after "=";
+# elsewhere it is an ordinary character. Possessive, so that long tags neither backtrack nor recurse.
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _TOKEN = (
     r"[^<]++"
     r"|<(?:"
@@ -262,7 +262,7 @@ def strip_elements(html: Column) -> Column:
 
 
 # Up to the wanted attribute; every loop is possessive, so a long tag cannot exhaust the stack.
-BEFORE_ATTR = r"""(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s++(?!{name}\s*=))*+\s++{name}\s*="""
+BEFORE_ATTR = r"""(?:[^>=\s]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|\s++(?!{name}\s*=))*+\s++{name}\s*="""
 _LINK = (
     rf"(?is)\A(<(?:(?:a|link)(?=[\s/]){BEFORE_ATTR.format(name='href')}|img(?=[\s/]){BEFORE_ATTR.format(name='src')})\s*)"
     r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""

@@ -20,12 +20,11 @@ _META = (
 _META_CONTENT = r"""(?i)\A<meta[^>]+content=["']([^"']*?)["']"""
 
 
-def head_slice(html: Column) -> Column:
-    """Text before the first ``</head>``, else the first 10,000 characters."""
+def head_slice(html: Column, fallback_chars: int | None = None) -> Column:
+    """Text before the first ``</head>``, else the whole page, or its start if a limit is given."""
     end = F.locate("</head>", html)
-    return F.when(end > 1, F.left(html, (end - 1))).otherwise(
-        F.left(html, F.lit(config.HEAD_FALLBACK_CHARS))
-    )
+    rest = html if fallback_chars is None else F.left(html, F.lit(fallback_chars))
+    return F.when(end > 1, F.left(html, (end - 1))).otherwise(rest)
 
 
 def meta(head: Column, name: str) -> Column:

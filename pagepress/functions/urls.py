@@ -219,7 +219,8 @@ def _absolute(p: Column) -> Column:
     )
 
 
-_PLAIN_PATH = r"\A/(?!/)(?:[A-Za-z0-9_~\-]|/(?!\.)|(?<!/)\.)*\z"
+# Possessive, as a link may have any length and a greedy loop over alternatives recurses for each character.
+_PLAIN_PATH = r"\A/(?!/)(?:[A-Za-z0-9_~\-]++|/(?!\.)|(?<!/)\.)*+\z"
 
 
 def resolve_url(reference: Column, base: Column) -> Column:

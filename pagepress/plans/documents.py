@@ -22,10 +22,12 @@ from pagepress.functions.text import column_of, memo, word_count
 from pagepress.functions.urls import normalize_url
 
 
-def html_to_markdown(df: DataFrame, html: str, out: str = "markdown") -> DataFrame:
+def html_to_markdown(
+    df: DataFrame, html: str, out: str = "markdown", max_alt_text: int | None = None
+) -> DataFrame:
     """Render an HTML column and run all cleaners."""
     # One working name for every caller, so that the expressions are put together only once.
-    df = clean_markdown(with_markdown(df, html, "__md"), "__md")
+    df = clean_markdown(with_markdown(df, html, "__md"), "__md", max_alt_text)
     return df.withColumn(out, F.col("__md")).drop("__md")
 
 
@@ -51,15 +53,25 @@ def with_sparse_fallback(
     )
 
 
-def extract(df: DataFrame, url: str = "url_key", html: str = "html") -> DataFrame:
-    """Add ``title, description, metadata, markdown`` to pages with a normalized URL."""
+def extract(
+    df: DataFrame,
+    url: str = "url_key",
+    html: str = "html",
+    max_html_chars: int | None = None,
+    max_words: int | None = None,
+    max_alt_text: int | None = None,
+) -> DataFrame:
+    """Add ``title, description, metadata, markdown`` to pages with a normalized URL.
+
+    Pages, texts and alt texts are kept whole unless a limit is given.
+    """
     df = with_metadata(df, html, url)
-    df = with_main_content(df, html, "__content")
+    df = with_main_content(df, html, "__content", max_html_chars)
     df = df.withColumn("__content", column_of(strip_elements, "__content"))
     df = df.withColumn("__content", column_of(absolutize_links, "__content", url))
-    df = html_to_markdown(df, "__content").drop("__content")
+    df = html_to_markdown(df, "__content", max_alt_text=max_alt_text).drop("__content")
     df = with_sparse_fallback(df, html)
-    return df.withColumn("markdown", column_of(cap_words, "markdown"))
+    return df if max_words is None else df.withColumn("markdown", cap_words(F.col("markdown"), max_words))
 
 
 @memo
@@ -74,8 +86,8 @@ def format_rows(df: DataFrame, url: str = "url_key") -> DataFrame:
     return df.withColumn("document", _document(url)).drop("__body")
 
 
-def page_documents(pages: DataFrame) -> DataFrame:
+def page_documents(pages: DataFrame, **limits: int | None) -> DataFrame:
     """``page_id, url, html`` in; ``page_id, url_key, title, description, metadata, markdown,
-    document`` out."""
+    document`` out. ``limits`` are those of :func:`extract`; by default nothing is cut."""
     keyed = pages.select("page_id", column_of(normalize_url, "url").alias("url_key"), "html")
-    return format_rows(extract(keyed)).drop("html")
+    return format_rows(extract(keyed, **limits)).drop("html")

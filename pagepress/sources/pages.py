@@ -9,18 +9,14 @@ from pagepress import config
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute the rows of a table that has fewer splits than there are cores.
+def scan_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Batch scan of a crawl table; unused columns are never read.
 
-    That only happens for small tables: rendering costs far more than moving a page once.
+    Rows stay where the scan reads them unless the caller asks for a number of partitions, as for
+    a table in few large row groups, since rendering a page costs far more than moving it once.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Batch scan of a crawl table; unused columns are never read."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    return pages if partitions is None else pages.repartition(partitions)
 
 
 def stream_pages(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:

@@ -23,7 +23,8 @@ def test_title_precedence(apply):
 
 
 def test_head_slice(apply):
-    assert apply(m.head_slice, "<head>x</head>y", "</head>z", "a" * 10001) == [
+    assert apply(m.head_slice, "<HEAD>x</HEAD>" + "a" * 10001) == ["<HEAD>x</HEAD>" + "a" * 10001]
+    assert apply(lambda c: m.head_slice(c, 10000), "<head>x</head>y", "</head>z", "a" * 10001) == [
         "<head>x", "</head>z", "a" * 10000,
     ]
 

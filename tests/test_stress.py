@@ -2,6 +2,10 @@
 
 import time
 
+from pyspark.sql import functions as F
+
+from pagepress.functions.cleaners import remove_empty_links, strip_inline_links
+from pagepress.functions.urls import resolve_url
 from pagepress.plans.documents import page_documents
 
 PUSH = '<script>self.__next_f.push([1,"{}"])</script>'
@@ -40,3 +44,57 @@ def test_long_broken_pages(spark):
     assert got[11] == "" and got[12] == "kept"
     assert got[15] == "a b" and got[16] == "## t"
     assert got[len(rows) - 1].split() == ["w"] * 4 * n or "truncated" in got[len(rows) - 1]
+
+
+def test_long_links(spark):
+    long = "a" * 1_000_000
+    bodies = [
+        f'<main><a href="/{long}">t</a></main>',
+        f'<main><a href="{long}/{long}?q">t</a><p>kept</p></main>',
+        f'<main><img src="/{long}" alt="x"><p>kept</p></main>',
+        f'<head><link rel="canonical" href="/{long}"></head><main><p>kept</p></main>',
+        f'<main><a href="/{long}<p>open</p></main>',
+    ]
+    df = spark.createDataFrame([(i, "e.com", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in page_documents(df.repartition(5)).collect()}
+    assert got[0].markdown == "t" and got[1].markdown.endswith("kept") and got[2].markdown.endswith("kept")
+    assert got[3].metadata.canonical == "https://e.com/" + long
+    paths = spark.createDataFrame([("/" + "ab/c.d" * 100_000,), ("/" + long,)], "r string").repartition(2)
+    out = paths.select("r", resolve_url(F.col("r"), F.lit("https://e.com/p")).alias("o")).collect()
+    assert all(r.o == "https://e.com" + r.r for r in out)
+
+
+def test_nothing_is_cut(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    bodies = [f"<main><p>{words}</p></main>", f"<HEAD>{'x' * 20_000}<title>T</title></HEAD><main><p>{words}</p></main>",
+              f'<main><p>{words}</p><img src="/i" alt="{"a" * 500}"></main>']
+    df = spark.createDataFrame([(i, "e.com", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in page_documents(df).collect()}
+    assert all(got[i].markdown.split()[:60_000] == words.split() for i in range(3))
+    assert got[1].title == "T" and "a" * 500 in got[2].markdown
+    capped = page_documents(df, max_words=100).filter("page_id = 0").collect()[0]
+    assert "truncated at 100 words" in capped.markdown
+
+
+def test_stray_quotes(spark):
+    bodies = [
+        "<main><img alt=Bob's photo><p>It's kept?</p></main>",
+        '<main><p class="x"">It says "hi" to all</p></main>',
+        '<main><a title="a > b" href="/q">t</a></main>',
+    ]
+    df = spark.createDataFrame([(i, "e.com", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r.markdown for r in page_documents(df).collect()}
+    assert "It's kept?" in got[0] and got[1] == 'It says "hi" to all' and got[2] == "t"
+
+
+def test_brackets_take_linear_time(spark):
+    def seconds(n):
+        texts = ["[x" * n, "[x](" * n, "[](" * n, "[a](b" * n + ")", "[a](b) " * n]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+        start = time.time()
+        out = df.select("t", strip_inline_links(F.col("t")).alias("s"), remove_empty_links(F.col("t")).alias("e")).collect()
+        assert {r.t: r.s for r in out}["[a](b) " * n] == "a " * n
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(40_000) < 10
