@@ -39,7 +39,6 @@ END = CLASSES  # the end token's class, before and after every text
 HEAD_UNITS, TAIL_UNITS = 8192, 4096
 LOOKUP_WORDS = 60_000
 PASSES = 3
-SWEEP = 64  # units that move together
 HELD_OUT, FOLDS = 1, 5
 END_WORD = b"\n"  # no word holds white space
 FLUSH = 500_000  # distinct words a task counts before it hands them on
@@ -172,39 +171,31 @@ def class_bigrams(before: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """One sweep: each unit, by frequency, moves to the class where the likelihood gains most."""
+    """One sweep: each unit in turn, the frequent first, moves to the class where the likelihood gains most."""
     classes = classes.copy()
     bigrams = class_bigrams(before, classes)
     left, right = before.astype(np.float64), after.astype(np.float64)
     size = left[:-1].sum(axis=1)
     order = np.argsort(-size, kind="stable")
-    order = order[size[order] > 0]
     n = CLASSES
-    for i in range(0, len(order), SWEEP):
-        units = order[i : i + SWEEP]
-        own, l, r = classes[units], left[units], right[units]
-        rows, cols = bigrams.sum(axis=1), bigrams.sum(axis=0)
-        # Gain of a unit's counts in class b: its column, its row, and the class totals.
-        column = (_phi(bigrams.T[None, :n] + l[:, None, :]) - _phi(bigrams.T[None, :n])).sum(axis=2)
-        row = (_phi(bigrams[None, :n] + r[:, None, :]) - _phi(bigrams[None, :n])).sum(axis=2)
-        w = size[units][:, None]
-        gain = column + row - (_phi(cols[None, :n] + w) - _phi(cols[:n])) - (_phi(rows[None, :n] + w) - _phi(rows[:n]))
-        # Loss of taking it out of its own class.
-        c, o = bigrams.T[own], bigrams[own]
-        lost = (_phi(c) - _phi(np.maximum(c - l, 0))).sum(axis=1) + (_phi(o) - _phi(np.maximum(o - r, 0))).sum(axis=1)
-        lost -= _phi(cols[own]) - _phi(np.maximum(cols[own] - w[:, 0], 0))
-        lost -= _phi(rows[own]) - _phi(np.maximum(rows[own] - w[:, 0], 0))
-        gain[np.arange(len(units)), own] = lost
-        best = gain.argmax(axis=1)
-        moves = gain[np.arange(len(units)), best] > lost + 1e-6
-        for k in np.flatnonzero(moves):
-            a, b = own[k], best[k]
-            bigrams[:, a] -= l[k]
-            bigrams[a] -= r[k]
-            bigrams[:, b] += l[k]
-            bigrams[b] += r[k]
-            classes[units[k]] = b
+    for unit in order[size[order] > 0].tolist():
+        own, l, r, w = classes[unit], left[unit], right[unit], size[unit]
+        # Take the unit out, then see where its column, its row and the class totals gain most.
+        bigrams[:, own] -= l
+        bigrams[own] -= r
         np.maximum(bigrams, 0, out=bigrams)
+        cols, rows = bigrams.sum(axis=0)[:n], bigrams.sum(axis=1)[:n]
+        into, out = bigrams.T[:n], bigrams[:n]
+        at_l, at_r = np.flatnonzero(l), np.flatnonzero(r)
+        gain = (_phi(into[:, at_l] + l[at_l]) - _phi(into[:, at_l])).sum(axis=1)
+        gain += (_phi(out[:, at_r] + r[at_r]) - _phi(out[:, at_r])).sum(axis=1)
+        gain -= _phi(cols + w) - _phi(cols) + _phi(rows + w) - _phi(rows)
+        best = int(gain.argmax())
+        if gain[best] <= gain[own] + 1e-6:
+            best = own
+        bigrams[:, best] += l
+        bigrams[best] += r
+        classes[unit] = best
     return classes
 
 

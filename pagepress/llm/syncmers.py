@@ -193,7 +193,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 def _lookup(values: dict[int, int | None]) -> Column:
     """Value of a range: one number for each range, as a literal array."""
     listed = ",".join("" if (v := values.get(i)) is None else str(v) for i in range(max(values) + 1))
-    return F.get(F.split(F.lit(listed), ","), F.col("range")).cast("long")
+    return F.get(F.split(F.lit(listed), ","), F.col("range")).try_cast("long")
 
 
 OUT = (
