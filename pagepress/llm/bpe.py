@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagepress.llm.common import ddl
 
-BLOCK_CHARS = 8_000_000
-KNOWN_CHUNKS = 400_000  # chunks a task remembers between blocks; beyond it starts anew
+BLOCK_CHARS = 4_000_000
+KNOWN_CHUNKS = 200_000  # chunks a task remembers between blocks; beyond it starts anew
 # White space of the split pattern (the Unicode property), as a class for the plain regex module.
 _SPACE = "\t-\r \x85\xa0  -     　"
 # A piece never reaches from visible text over white space, so texts may be cut before white space.

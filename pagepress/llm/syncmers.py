@@ -173,9 +173,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_place", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     steps = [i / ranges for i in range(1, ranges)]
     bounds = keyed.filter("doc_id is not null").approxQuantile("_place", steps, 0.2 / ranges)
-    splits = [float("-inf"), *sorted({b for b in bounds if np.isfinite(b)}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket").transform(keyed)
-    ranged = ranged.select("doc_id", "text", F.col("_bucket").cast("int").alias("range"))
+    inner = sorted({b for b in bounds if np.isfinite(b)})
+    if inner:
+        splits = [float("-inf"), *inner, float("inf")]
+        keyed = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket").transform(keyed)
+        ranged = keyed.select("doc_id", "text", F.col("_bucket").cast("int").alias("range"))
+    else:
+        ranged = keyed.select("doc_id", "text", F.lit(0).alias("range"))
     tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()
     if not tops:
         return _stream(ranged.withColumn("copy", F.lit(False)))
