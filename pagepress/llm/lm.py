@@ -41,7 +41,7 @@ LOOKUP_WORDS = 60_000
 PASSES = 3
 HELD_OUT, FOLDS = 1, 5
 END_WORD = b"\n"  # no word holds white space
-FLUSH = 500_000  # distinct words a task counts before it hands them on
+FLUSH = 200_000  # distinct words a task counts, or rows it gathers, before it hands them on
 
 
 def words(text: bytes) -> list[bytes]:
@@ -211,14 +211,22 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     ).collect()[0]
     discount = total.once / (total.once + 2 * total.twice) if total.once and total.twice else 0.5
     model = Model(total.tokens, total.words, discount)
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP_WORDS + 1).collect()
-    ranked = [(bytes(r["word"]), r["n"]) for r in top if bytes(r["word"]) != END_WORD]
+    # The most frequent words, cut between two counts so that the bound holds whatever the ties. What
+    # tells where to cut is the number of words for each count; there are few different counts.
+    words_with = counts.filter(F.col("word") != F.lit(END_WORD)).groupBy("n").agg(F.count("*").alias("words"))
+    room, least = LOOKUP_WORDS, None
+    for r in sorted(words_with.collect(), key=lambda r: -r["n"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    frequent = counts.filter(F.col("n") >= F.lit(least) if least is not None else F.lit(False))
+    top = sorted(((bytes(r["word"]), r["n"]) for r in frequent.collect()), key=lambda t: (-t[1], t[0]))
+    ranked = [(w, n) for w, n in top if w != END_WORD]
     model.count = dict(ranked)
     model.unit = {w: i if i < HEAD_UNITS else tail_unit(w) for i, (w, _) in enumerate(ranked)}
-    end_count = next((r["n"] for r in top if bytes(r["word"]) == END_WORD), None)
-    if end_count is None:
-        found = counts.filter(F.col("word") == F.lit(END_WORD)).collect()
-        end_count = found[0]["n"] if found else 0
+    found = counts.filter(F.col("word") == F.lit(END_WORD)).collect()
+    end_count = found[0]["n"] if found else 0
     model.count[END_WORD] = end_count
 
     encoded = cut(encode_units(seen, model.unit))
@@ -260,6 +268,13 @@ PARTS = (
 )
 
 
+def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(),
+             pa.int32(), pa.int64()]
+    columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each text with what the task can tell, and one for each of its words beyond the lookup.
 
@@ -305,12 +320,10 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
                     (row_id, doc_id, held, len(at), known, float(base[hit].sum()), float(score), b"\n%d" % row_id, None, None)
                 )
                 out += [(row_id, None, None, None, None, None, None, w, tails[w[-3:]], n) for w, n in rare.items()]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(),
-                     pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
-            )
+                if len(out) > FLUSH // 4:
+                    yield _rows(out, names)
+                    out = []
+            yield _rows(out, names)
 
     return rows.mapInArrow(run, PARTS)
 
