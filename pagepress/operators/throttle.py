@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagepress import config
 from pagepress.functions.text import trim
 
-_BLOCK_WINDOWS = 64
-_MIN_BLOCK_SECONDS = 86400
+BLOCK_SECONDS = 86400  # bounds the arrays of a block, whatever the window's length
+_KEYS = ["__null", "__key"]
+_KEY_SCHEMA = "__null boolean, __key string"
 
 
 def client_key(first: Column, second: Column) -> Column:
@@ -66,6 +67,7 @@ def _exit_tables(length: int, block: int):
                 exits.append(_chain_exits(s, length)[:reach])
             yield pd.DataFrame(
                 {
+                    "__null": pdf["__null"],
                     "__key": pdf["__key"],
                     "__block": pdf["__block"],
                     "entries": entries,
@@ -92,35 +94,43 @@ def _window_starts(length: int):
                     i = j
                 starts_all.append(starts)
             yield pd.DataFrame(
-                {"__key": pdf["__key"], "seconds": pdf["seconds"], "starts": starts_all}
+                {
+                    "__null": pdf["__null"],
+                    "__key": pdf["__key"],
+                    "seconds": pdf["seconds"],
+                    "starts": starts_all,
+                }
             )
 
     return run
 
 
-def anchored_windows(
-    log: DataFrame, key: str, second: str, length: int, block_seconds: int | None = None
-) -> DataFrame:
-    """``key, second, window_start, n, before`` per distinct second of a key.
+def _keyed(log: DataFrame, key: str, second: str) -> DataFrame:
+    """The log with ``_KEYS``, which are never null, so that plain equality joins them everywhere.
 
-    ``n`` is the number of rows of that second and ``before`` the number of earlier rows in the
-    same window.
+    All steps then agree on one hash partitioning of (key, second). Keys are texts or integers.
     """
-    block = block_seconds or max(_MIN_BLOCK_SECONDS, _BLOCK_WINDOWS * length)
-    per_second = (
-        log.select(F.col(key).alias("__key"), F.col(second).cast("long").alias("__second"))
-        .groupBy("__key", "__second")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return log.withColumns(
+        {
+            "__null": F.col(key).isNull(),
+            "__key": F.coalesce(F.col(key).cast("string"), F.lit("")),
+            "__second": F.col(second).cast("long"),
+        }
     )
+
+
+def _chained(per_second: DataFrame, length: int, block: int) -> DataFrame:
+    """``_KEYS, __second, window_start`` of chains that start with the first second of each key."""
+    # Never null, lest a filter on it keeps the two uses of the blocks from sharing one shuffle.
+    number = F.coalesce(F.floor(F.col("__second") / block), F.lit(0).cast("long"))
     blocks = (
-        per_second.withColumn("__block", F.floor(F.col("__second") / block))
-        .groupBy("__key", "__block")
+        per_second.withColumn("__block", number)
+        .groupBy(*_KEYS, "__block")
         .agg(F.array_sort(F.collect_list("__second")).alias("seconds"))
     )
-    key_type = log.schema[key].dataType.simpleString()
     tables = blocks.mapInPandas(
         _exit_tables(length, block),
-        f"__key {key_type}, __block bigint, entries array<bigint>, exits array<bigint>",
+        f"{_KEY_SCHEMA}, __block bigint, entries array<bigint>, exits array<bigint>",
     )
 
     def walk(acc: Column, b: Column) -> Column:
@@ -143,34 +153,74 @@ def anchored_windows(
     )
     ordered = F.array_sort(F.collect_list(F.struct("__block", "entries", "exits")))
     entries = (
-        tables.groupBy("__key")
+        tables.groupBy(*_KEYS)
         .agg(F.aggregate(ordered, start, walk)["out"].alias("out"))
-        .select("__key", F.inline("out"))
+        .select(*_KEYS, F.inline("out"))
     )
-    marked = (
-        blocks.join(
-            entries.withColumnRenamed("__key", "__k").withColumnRenamed("__block", "__b"),
-            F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b")),
-        )
-        .select("__key", "seconds", "entry")
-        .mapInPandas(
-            _window_starts(length), f"__key {key_type}, seconds array<bigint>, starts array<bigint>"
+    marked = blocks.join(entries, [*_KEYS, "__block"]).select(*_KEYS, "seconds", "entry").mapInPandas(
+        _window_starts(length), f"{_KEY_SCHEMA}, seconds array<bigint>, starts array<bigint>"
+    )
+    return marked.select(*_KEYS, F.inline(F.arrays_zip("seconds", "starts"))).select(
+        *_KEYS, F.col("seconds").alias("__second"), F.col("starts").alias("window_start")
+    )
+
+
+def _windows(
+    keyed: DataFrame, length: int, block_seconds: int | None, open_windows: DataFrame | None
+) -> DataFrame:
+    """``_KEYS, __second, window_start, n, before`` of a keyed log."""
+    per_second = (
+        keyed.where(F.col("__second").isNotNull())
+        .groupBy(*_KEYS, "__second")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    block = block_seconds or BLOCK_SECONDS
+    if open_windows is None:
+        counted = per_second.join(_chained(per_second, length, block), [*_KEYS, "__second"])
+        counted = counted.withColumn("__carried", F.lit(0).cast("long"))
+    else:
+        # Seconds up to the end of the open window belong to it, late ones too; the rest are new chains.
+        met = per_second.join(open_windows, _KEYS, "left")
+        inside = F.coalesce(F.col("__second") <= F.col("__open") + length, F.lit(False))
+        free = met.where(~inside).select(*_KEYS, "__second", "n")
+        counted = (
+            free.join(_chained(free, length, block), [*_KEYS, "__second"])
+            .withColumn("__carried", F.lit(0).cast("long"))
+            .unionByName(
+                met.where(inside).select(
+                    *_KEYS, "__second", "n", F.col("__open").alias("window_start"), "__carried"
+                )
+            )
         )
+    in_window = Window.partitionBy(*_KEYS, "window_start").orderBy("__second")
+    before = F.sum("n").over(in_window) - F.col("n") + F.col("__carried")
+    return counted.withColumn("before", before).select(
+        *_KEYS, "__second", "window_start", "n", "before"
     )
-    seconds = marked.select("__key", F.inline(F.arrays_zip("seconds", "starts"))).select(
-        F.col("__key").alias("__mk"), F.col("seconds").alias("__ms"), F.col("starts").alias("window_start")
+
+
+def anchored_windows(
+    log: DataFrame, key: str, second: str, length: int, block_seconds: int | None = None
+) -> DataFrame:
+    """``key, second, window_start, n, before`` per distinct second of a key.
+
+    ``n`` is the number of rows of that second and ``before`` the number of earlier rows in the
+    same window. Rows without a second are in no window.
+    """
+    own = F.when(~F.col("__null"), F.col("__key")).cast(log.schema[key].dataType)
+    return _windows(_keyed(log, key, second), length, block_seconds, None).select(
+        own.alias(key), F.col("__second").alias(second), "window_start", "n", "before"
     )
-    in_window = Window.partitionBy("__key", "window_start").orderBy("__second")
+
+
+def _numbered(keyed: DataFrame, windows: DataFrame, order: list[str]) -> DataFrame:
+    """Every row with its ``window_start`` and running ``request_count``."""
+    rank = F.row_number().over(Window.partitionBy(*_KEYS, "__second").orderBy(*order))
     return (
-        per_second.join(
-            seconds,
-            F.col("__key").eqNullSafe(F.col("__mk")) & (F.col("__second") == F.col("__ms")),
-        )
-        .select("__key", "__second", "window_start", "n")
-        .withColumn("before", F.sum("n").over(in_window) - F.col("n"))
-        .select(
-            F.col("__key").alias(key), F.col("__second").alias(second), "window_start", "n", "before"
-        )
+        keyed.withColumn("__rank", rank)
+        .join(windows.drop("n"), [*_KEYS, "__second"], "left")
+        .withColumn("request_count", F.col("before") + F.col("__rank"))
+        .drop(*_KEYS, "__second", "__rank", "before")
     )
 
 
@@ -181,18 +231,40 @@ def anchored_counts(
     """Every log row with its ``window_start`` and its running ``request_count``.
 
     Rows of one second are numbered in ``order``; only (key, second) groups are sorted, so a
-    hot key spreads over as many groups as it has seconds.
+    hot key spreads over as many groups as it has seconds. Whole log rows are shuffled once. A row
+    without a second keeps nulls in both columns.
     """
-    windows = anchored_windows(log, key, second, length, block_seconds).select(
-        F.col(key).alias("__wk"), F.col(second).alias("__ws"), "window_start", "before"
-    )
-    rank = F.row_number().over(Window.partitionBy(key, second).orderBy(*order))
-    return (
-        log.withColumn("__rank", rank)
-        .join(windows, F.col(key).eqNullSafe(F.col("__wk")) & (F.col(second) == F.col("__ws")))
-        .withColumn("request_count", F.col("before") + F.col("__rank"))
-        .drop("__wk", "__ws", "__rank", "before")
+    keyed = _keyed(log, key, second)
+    return _numbered(keyed, _windows(keyed, length, block_seconds, None), order)
+
+
+OPEN_SCHEMA = f"{_KEY_SCHEMA}, __open bigint, __carried bigint"
+
+
+def continue_windows(
+    log: DataFrame, open_windows: DataFrame, key: str, second: str, order: list[str], length: int,
+    keep_seconds: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Counts of a further piece of a log, and the open windows behind it.
+
+    ``open_windows`` (``OPEN_SCHEMA``) holds the last window and its count, a row for each key. A
+    row that comes late counts in the window that is open now, as it would on arrival. Windows that
+    closed more than ``keep_seconds`` before the latest second of the piece are forgotten.
+    """
+    keyed = _keyed(log, key, second)
+    windows = _windows(keyed, length, None, open_windows)
+    last = windows.select(*_KEYS, F.col("window_start").alias("__open"), (F.col("before") + F.col("n")).alias("__carried"))
+    latest = windows.agg(F.max("__second").alias("__latest"))
+    kept = (
+        last.unionByName(open_windows)
+        .groupBy(*_KEYS)
+        .agg(F.max(F.struct("__open", "__carried")).alias("w"))
+        .select(*_KEYS, "w.*")
+        .join(F.broadcast(latest))  # one row
+        .where(F.coalesce(F.col("__open") + length + keep_seconds >= F.col("__latest"), F.lit(True)))
+        .drop("__latest")
     )
+    return _numbered(keyed, windows, order), kept
 
 
 def throttle_decision(

@@ -1,88 +1,50 @@
-"""The throttle as a stream: one small state per client key, one answer per request."""
+"""The throttle as a stream: each micro-batch is answered by the batch plan, from the windows left open.
+
+Rows of a trigger may come in any order and partitions; they are counted per (key, second) first, so
+a hot client is spread like in the batch plan. What is carried is one window and its count for each
+client. Every request gets an answer: a late one counts in the window that is open when it comes.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagepress import config
+from pagepress.operators.snapshots import read_version, write_version
+from pagepress.operators.throttle import OPEN_SCHEMA, continue_windows, throttle_decision
+from pagepress.streaming.documents import latest_version
 
 
-def _counter(limit: int, window: int, columns: list[str]):
-    def run(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, count = state.get if state.exists else (None, 0)
-        for chunk in chunks:
-            chunk = chunk.sort_values(["second", "request_id"], kind="stable")
-            seconds = chunk["second"].to_numpy(dtype="int64")
-            starts = np.empty(len(seconds), dtype="int64")
-            counts = np.empty(len(seconds), dtype="int64")
-            i = 0
-            while i < len(seconds):
-                if start is None or seconds[i] - start > window:
-                    start, count = int(seconds[i]), 0
-                j = int(np.searchsorted(seconds, start + window, side="right"))
-                starts[i:j] = start
-                counts[i:j] = count + np.arange(1, j - i + 1)
-                count += j - i
-                i = j
-            out = chunk.assign(
-                window_start=starts,
-                request_count=counts,
-                rejected=(counts > limit).astype("int32"),
-                retry_after=pd.array(np.where(counts > limit, window, -1), dtype="Int64"),
-            )
-            out.loc[counts <= limit, "retry_after"] = pd.NA
-            yield out[columns]
-        if start is not None:
-            state.update((start, int(count)))
-            # Once event time has passed the window, the next request opens a new one anyway.
-            expiry = (start + window + 1) * 1000
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-
-    return run
-
-
-def throttle_stream(
-    requests: DataFrame,
+def throttle_batch(
+    root: str,
     limit: int = config.THROTTLE_LIMIT,
     window: int = config.THROTTLE_WINDOW_SECONDS,
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """Stream of ``request_id, client, ts`` in, the same with the decision out.
+    keep_seconds: int = 86400,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over ``request_id, client, ts``.
 
-    Rows of a key are taken in chunks as they arrive, so neither a hot key nor a long trigger
-    has to fit in memory; the state is two integers per key and goes away with its window.
+    Batch ``n`` writes its answers as ``root/answers/version=n`` and then the open windows as
+    ``root/open/version=n``, built from those of the batch before; a batch that is run again after
+    a failure starts from the same windows and replaces its own answers.
     """
-    columns = [
-        "request_id", "client", "second", "window_start", "request_count", "rejected", "retry_after",
-    ]
-    schema = (
-        "request_id bigint, client string, second bigint, window_start bigint, "
-        "request_count bigint, rejected int, retry_after bigint"
-    )
-    return (
-        requests.select(
-            "request_id",
-            "client",
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"),
+
+    def run(requests: DataFrame, batch: int) -> None:
+        spark = requests.sparkSession
+        log = requests.select(
+            "request_id", "client", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second")
+        )
+        base = latest_version(spark, f"{root}/open", before=batch)
+        before = (
+            spark.createDataFrame([], OPEN_SCHEMA) if base < 0 else read_version(spark, f"{root}/open", base)
         )
-        .withWatermark("ts", delay)
-        .groupBy("client")
-        .applyInPandasWithState(
-            _counter(limit, window, columns),
-            schema,
-            "window_start bigint, request_count bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+        counted, still_open = continue_windows(
+            log, before, "client", "second", ["request_id"], window, keep_seconds
         )
-    )
+        rejected, retry_after = throttle_decision(F.col("request_count"), limit, window)
+        answers = counted.withColumns({"rejected": rejected, "retry_after": retry_after})
+        write_version(answers, f"{root}/answers", batch)
+        write_version(still_open, f"{root}/open", batch)
+
+    return run

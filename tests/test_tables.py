@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagepress.operators import snapshots, throttle
 from pagepress.sources.pages import stream_pages, with_errors
 from pagepress.streaming.documents import document_stream, latest_version, upsert_batch
-from pagepress.streaming.throttle import throttle_stream
+from pagepress.streaming.throttle import throttle_batch
 
 NOW = 100000
 
@@ -98,30 +98,66 @@ def test_client_key(spark):
     assert got == ["x", "y", "unknown", "", ""]
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(5)
-    times = sorted(rng.randrange(0, 1500) for _ in range(600))
-    rows = [(i, rng.choice("abc"), t) for i, t in enumerate(times)]
-    for part in range(3):
-        chunk = rows[part * 200 : part * 200 + 200]
-        spark.createDataFrame(chunk, "request_id long, client string, second long").select(
-            "request_id", "client", F.timestamp_seconds("second").alias("ts")
-        ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def run_throttle(spark, tmp_path):
     requests = (
         spark.readStream.schema("request_id long, client string, ts timestamp")
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", 4)
         .parquet(str(tmp_path / "in"))
     )
     query = (
-        throttle_stream(requests).writeStream.format("parquet")
-        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        requests.writeStream.foreachBatch(throttle_batch(str(tmp_path / "out")))
+        .option("checkpointLocation", str(tmp_path / "cp"))
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination(120)
-    got = {r.request_id: (r.window_start, r.request_count, r.rejected) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    expected = {k: (s, n, int(n > 10)) for k, (s, n) in model(rows, 60).items()}
-    assert got == expected
-    assert any(r for _, _, r in got.values())
+    query.awaitTermination(240)
+    answers = spark.read.parquet(str(tmp_path / "out" / "answers")).collect()
+    return {r.request_id: (r.window_start, r.request_count, r.rejected) for r in answers}
+
+
+def add_requests(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "request_id long, client string, second long").repartition(4).select(
+        "request_id", "client", F.timestamp_seconds("second").alias("ts")
+    ).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_throttle_stream_equals_batch(spark, tmp_path):
+    """Rows of a trigger are unsorted and in four files; one client has far over 10,000 of them."""
+    rng = random.Random(5)
+    times = sorted(rng.randrange(0, 1500) for _ in range(36000))
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", "b", None]), t) for i, t in enumerate(times)]
+    for part in range(2):
+        chunk = rows[part * 18000 : part * 18000 + 18000]
+        rng.shuffle(chunk)
+        add_requests(spark, tmp_path, chunk)
+        got = run_throttle(spark, tmp_path)
+    assert got == {k: (s, n, int(n > 10)) for k, (s, n) in model(rows, 60).items()}
+
+
+def test_throttle_stream_answers_late_rows(spark, tmp_path):
+    add_requests(spark, tmp_path, [(1, "a", 5000), (2, "a", 5010)])
+    run_throttle(spark, tmp_path)
+    add_requests(spark, tmp_path, [(3, "a", 7), (4, "a", 5060), (5, "a", 5061), (6, "b", 7)])
+    got = {k: (s, n) for k, (s, n, _) in run_throttle(spark, tmp_path).items()}
+    assert got == {1: (5000, 1), 2: (5000, 2), 3: (5000, 3), 4: (5000, 4), 5: (5061, 1), 6: (7, 1)}
+
+
+def test_throttle_plan(spark):
+    """Whole log rows are shuffled once, for the ranks; all other exchanges carry counts."""
+    log = spark.range(100).selectExpr("id", "string(id % 3) key", "id second", "repeat('x', 50) body")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = throttle.anchored_counts(log, "key", "second", ["id"], 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    assert sum(line.startswith("Exchange hashpartitioning") for line in lines) <= 8, plan
+    assert sum(line.startswith("ReusedExchange") for line in lines) >= 1, plan
+
+
+def test_rows_without_a_second(spark):
+    df = spark.createDataFrame([(0, "a", None), (1, "a", 5), (2, None, None)], "id long, key string, second long")
+    got = {r.id: r.request_count for r in throttle.anchored_counts(df, "key", "second", ["id"], 60).collect()}
+    assert got == {0: None, 1: 1, 2: None}
 
 
 def test_document_stream_upserts(spark, tmp_path):
