@@ -606,7 +606,13 @@ def build() -> dict[str, str]:
     page_tok = [("tok", token_rows("pages", "page_id"))]
     html_tok = html_src + [("tok", token_rows("src", "k"))]
     roles = [v for _, n, v in config.exclude_rules() if n == "role"]
-    inline = "regexp_extract(html, '</pre><code>([^<]*)</code>', 1)"
+    inline = "regexp_extract_all(html, '<code>([^<]*)</code>', 1)"
+    blocks = "regexp_extract_all(html, '<pre><code[^>]*>([^<]*)</code>', 1)"
+
+    def every(found: str) -> str:
+        """A row for each item of a list, with its place from 0."""
+        return f"(select k, unnest(range(len(l))) as pos, unnest(l) as t from (select k, {found} as l from {duck('d_html')}))"
+
     ld = with_steps(_LD_STEPS, _LD_FIELDS)
     out = {
         "page_scan": "select page_id, url, length(html)::bigint as html_chars from pages",
@@ -730,9 +736,8 @@ def build() -> dict[str, str]:
         ) + ", '{n}', c_name), '{m}', c_mktsegment) as markdown from customer",
         "render_code": "select c_custkey as k, c_name || " + q("\n\nin\n\nh\n\nn\n\n_r_\n\n```sql\nselect 1\n  from t\n```\n\n")
         + " || case when c_custkey % 3 = 0 then '``` a`b`` ```' else '``a`b``' end || " + q("\n\n## T\n\ntail") + " as markdown from customer",
-        "inline_code": f"select k, case when ends_with(t, '`') then '``` ' || t || ' ```' else '``' || t || '``' end as code from (select k, {inline} as t from {duck('d_html')})",
-        "fenced_code": "select k, '```sql' || chr(10) || rtrim(regexp_extract(html, '<pre><code[^>]*>([^<]*)</code>', 1), chr(10)) || chr(10) || '```' as code "
-        f"from {duck('d_html')}",
+        "inline_code": "select k, pos, case when ends_with(t, '`') then '``` ' || t || ' ```' else '``' || t || '``' end as code from " + every(inline),
+        "fenced_code": "select k, pos, '```sql' || chr(10) || rtrim(t, chr(10)) || chr(10) || '```' as code from " + every(blocks),
         "multiline_links": with_steps(md_src + multiline_steps("src", "k", "md", "done"), "select k, md from done"),
         "nav_links": _md(navigation_links("md")),
         "nav_phrases": _md(navigation_phrases("md")),
@@ -784,6 +789,14 @@ def build() -> dict[str, str]:
             [_KEYED_PAGES] + _document_steps("keyed_pages"),
             "select page_id, url_key, title, description, language, markdown, document from documents_out",
         ),
+        "crawl_documents": with_steps(
+            [_KEYED_PAGES] + _document_steps("keyed_pages"),
+            "select p.page_id, case when e.error is null then d.url_key end as url_key, case when e.error is null then d.document end as document, "
+            "e.error from pages p join (select page_id, case when page_id % 11 = 0 or coalesce(url, '') = '' then 'Missing URL' "
+            "when page_id % 7 = 0 then 'HTTP 503' when page_id % 5 = 0 then 'Unsupported content type: image/png' "
+            "when page_id % 3 = 0 or html is null then 'No page was received' end as error from pages) e on e.page_id = p.page_id "
+            "left join documents_out d on d.page_id = p.page_id",
+        ),
         "js_trim": f"select k, {trim('s')} as s from {duck('d_space')}",
         "snapshot_lookup": with_steps(
             [("keyed", _KEYED), ("stored", _STORED)],

@@ -15,7 +15,7 @@ from pagepress.functions.markdown import fenced_code, inline_code, with_markdown
 from pagepress.functions.text import column_of, trim, word_count
 from pagepress.functions.urls import normalize_url, split_url, with_scheme
 from pagepress.operators import snapshots, throttle
-from pagepress.plans import documents as plans
+from pagepress.plans import crawl as crawl_jobs, documents as plans
 from pagepress.sources.pages import accepted, scan_pages, url_error, with_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ NOW = 1704082200  # fixed clock: snapshots of pages above id 190 are fresh
 EVENT_WINDOW = 21600
 HTML_CAP = 1000
 WORD_CAP = 100
+FALLBACK = {
+    "min_words": config.MIN_WORDS, "min_heading": config.FLIGHT_MIN_HEADING, "min_body": config.FLIGHT_MIN_BODY,
+}
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +56,10 @@ def _head(c: str = "html") -> Column:
     return metadata.head_slice(F.col(c), config.HEAD_FALLBACK_CHARS)
 
 
+def _flight_document(html: Column) -> Column:
+    return flight.flight_html(html, config.FLIGHT_MIN_HEADING, config.FLIGHT_MIN_BODY)
+
+
 def page_scan(spark, sf):
     return scan_pages(spark, f"{sf}/pages.parquet").select(
         "page_id", "url", F.length("html").cast("long").alias("html_chars")
@@ -313,18 +320,22 @@ def render_blocks(spark, sf):
 
 
 def inline_code_query(spark, sf):
-    text = F.regexp_extract("html", r"</pre><code>([^<]*)</code>", 1)
-    return derived(spark, sf, "d_html").select("k", text.alias("t")).select(
-        "k", inline_code(F.col("t")).alias("code")
+    """All code elements without attributes, in order."""
+    texts = F.regexp_extract_all("html", F.lit(r"<code>([^<]*)</code>"), F.lit(1))
+    return derived(spark, sf, "d_html").select("k", F.posexplode(texts).alias("pos", "t")).select(
+        "k", F.col("pos").cast("long").alias("pos"), inline_code(F.col("t")).alias("code")
     )
 
 
 def fenced_code_query(spark, sf):
-    return derived(spark, sf, "d_html").select(
+    """All code blocks, in order."""
+    found = F.regexp_extract_all("html", F.lit(r"<pre><code[^>]*>[^<]*</code>"), F.lit(0))
+    return derived(spark, sf, "d_html").select("k", F.posexplode(found).alias("pos", "b")).select(
         "k",
+        F.col("pos").cast("long").alias("pos"),
         fenced_code(
-            F.regexp_extract("html", r"<pre><code[^>]*>([^<]*)</code>", 1),
-            F.regexp_extract("html", r'language-([^"\s]+)', 1),
+            F.regexp_extract("b", r"<pre><code[^>]*>([^<]*)</code>", 1),
+            F.regexp_extract("b", r'language-([^"\s]+)', 1),
         ).alias("code"),
     )
 
@@ -355,7 +366,8 @@ def flight_text(spark, sf):
 
 
 def _flight_elements(spark, sf, kind: int):
-    parts = flight.elements(flight.flight_text(flight.payloads(F.col("html"))))
+    text = flight.flight_text(flight.payloads(F.col("html")))
+    parts = flight.elements(text, config.FLIGHT_MIN_HEADING, config.FLIGHT_MIN_BODY)
     return (
         derived(spark, sf, "d_flight").where(flight.has_flight(F.col("html")))
         .select("k", F.inline(F.filter(parts, lambda e: e["kind"] == kind)))
@@ -373,7 +385,7 @@ def flight_body(spark, sf):
 def sparse_fallback(spark, sf):
     df = content.with_main_content(derived(spark, sf, "d_flight"), "html", "content")
     df = plans.html_to_markdown(df, "content")
-    return plans.with_sparse_fallback(df).select("k", "markdown")
+    return plans.with_sparse_fallback(df, **FALLBACK).select("k", "markdown")
 
 
 def word_count_query(spark, sf):
@@ -414,11 +426,22 @@ def empty_body(spark, sf):
 
 
 def page_documents(spark, sf):
-    return plans.page_documents(_pages(spark, sf)).select(
+    return plans.page_documents(_pages(spark, sf), **FALLBACK).select(
         "page_id", "url_key", "title", "description", F.col("metadata.language").alias("language"), "markdown", "document"
     )
 
 
+def crawl_documents(spark, sf):
+    """Pages as crawl responses, some of them bad, to documents and error rows."""
+    crawl = _pages(spark, sf).withColumns({
+        "status": F.when(F.col("page_id") % 7 == 0, 503).otherwise(200),
+        "content_type": F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("text/html"),
+        "url": F.when(F.col("page_id") % 11 != 0, F.col("url")),
+        "html": F.when(F.col("page_id") % 3 != 0, F.col("html")),
+    })
+    return crawl_jobs.crawl_documents(crawl, **FALLBACK).select("page_id", "url_key", "document", "error")
+
+
 def _snapshots(spark, sf):
     """A snapshot table that covers the pages with an even id."""
     stored = derived(spark, sf, "d_snapshot").where("k % 2 = 0").select(
@@ -454,7 +477,7 @@ def snapshot_upsert(spark, sf):
 
 def incremental_documents(spark, sf):
     todo = snapshots.stale_pages(_keyed(spark, sf), _snapshots(spark, sf), NOW)
-    done = plans.format_rows(plans.extract(todo.select("page_id", "url_key", "html"))).select(
+    done = plans.format_rows(plans.extract(todo.select("page_id", "url_key", "html"), **FALLBACK)).select(
         "url_key", "document", F.lit(NOW).cast("long").alias("created_at")
     )
     return snapshots.upsert(_snapshots(spark, sf), done)
@@ -558,7 +581,7 @@ QUERIES: dict[str, Query] = {
     "flight_text": flight_text,
     "flight_headings": flight_headings,
     "flight_body": flight_body,
-    "flight_document": _column("html", "html", flight.flight_html, "d_flight"),
+    "flight_document": _column("html", "html", _flight_document, "d_flight"),
     "sparse_fallback": sparse_fallback,
     "word_count": word_count_query,
     "word_cap": word_cap,
@@ -566,6 +589,7 @@ QUERIES: dict[str, Query] = {
     "format_document": format_document,
     "empty_body": empty_body,
     "page_documents": page_documents,
+    "crawl_documents": crawl_documents,
     "js_trim": _column("s", "s", trim, "d_space"),
     "snapshot_lookup": snapshot_lookup,
     "cache_hits": cache_hits,

@@ -4,6 +4,8 @@
 MAX_HTML_CHARS = 256000
 MAX_WORDS = 10000
 MIN_WORDS = 50
+FLIGHT_MIN_HEADING = 3
+FLIGHT_MIN_BODY = 40
 SNAPSHOT_TTL_SECONDS = 3600
 THROTTLE_LIMIT = 10
 THROTTLE_WINDOW_SECONDS = 60

@@ -11,8 +11,8 @@ MARK = "__next_f"
 # --- Fixed values: what counts as a payload, a heading and a body text --------
 _SCRIPT = r"(?i)<script[^>]*>([\s\S]*?)</script>"
 _PUSH = r'self\.__next_f\.push\(\[1,"([^"\\]*+(?:\\.[^"\\]*+)*+)"\]\)'
-_HEADING = r'"as"\s*:\s*"(h[1-6])"[^}]*?"children"\s*:\s*"([^"]{3,})"'
-_BODY = r'"children"\s*:\s*"([^"]{40,})"'
+_HEADING = r'"as"\s*:\s*"(h[1-6])"[^}]*?"children"\s*:\s*"([^"]{%d,})"'
+_BODY = r'"children"\s*:\s*"([^"]{%d,})"'
 _TEXT_ESCAPES = [("\\\\n", "\n"), ('\\\\"', '"'), ('\\"', '"'), ("\\\\", "\\")]
 _CLEAN_ESCAPES = [("\\n", " "), ("\\t", " "), ('\\"', '"'), ("\\\\", "\\")]
 
@@ -36,15 +36,16 @@ def clean_text(c: Column) -> Column:
     return trim(replace_many(c, _CLEAN_ESCAPES))
 
 
-def elements(text: Column) -> Column:
+def elements(text: Column, min_heading: int = 1, min_body: int = 1) -> Column:
     """``array<struct<at, kind, level, text>>`` of headings (kind 0) and bodies (kind 1).
 
     One pattern finds both in text order. A body inside a heading's span could only be that
     heading's own text, which is never kept twice, so the shared scan loses nothing. Of equal
-    texts a heading wins over a body, then the first one.
+    texts a heading wins over a body, then the first one. Shorter texts than the least lengths are
+    left out; by default there is no least length.
     """
     found = F.transform(
-        F.regexp_extract_all(text, F.lit(f"{_HEADING}|{_BODY}"), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(f"{_HEADING}|{_BODY}" % (min_heading, min_body)), F.lit(0)),
         lambda m, i: F.struct(
             clean_text(F.regexp_extract(m, r'"([^"]*)"\z', 1)).alias("text"),
             F.when(F.startswith(m, F.lit('"as"')), 0).otherwise(1).alias("kind"),
@@ -81,12 +82,13 @@ def elements(text: Column) -> Column:
     )
 
 
-def flight_html(html: Column) -> Column:
+def flight_html(html: Column, min_heading: int = 1, min_body: int = 1) -> Column:
     """Small HTML document rebuilt from the flight data; ``""`` if there is none."""
 
     def wrap(e: Column) -> Column:
         tag = F.when(e["kind"] == 0, e["level"]).otherwise("p")
         return F.concat(F.lit("<"), tag, F.lit(">"), e["text"], F.lit("</"), tag, F.lit(">"))
 
-    built = F.array_join(F.transform(elements(flight_text(payloads(html))), wrap), "\n")
+    found = elements(flight_text(payloads(html)), min_heading, min_body)
+    built = F.array_join(F.transform(found, wrap), "\n")
     return F.when(has_flight(html), F.coalesce(built, F.lit(""))).otherwise("")

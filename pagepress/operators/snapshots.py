@@ -65,7 +65,9 @@ def stale_pages(
 ) -> DataFrame:
     """Pages whose key has no fresh snapshot, one page (the highest id) per key.
 
-    The join runs on keys alone; ``html`` is read for the remaining pages only.
+    Ranking and the join with the snapshots run on keys alone. The last join brings the bodies: it
+    reads ``html`` of all pages, and shuffles it by ``page_id`` unless the ids left are few enough
+    to be broadcast.
     """
     keys = latest_per_key(
         pages.select("url_key", "page_id"), "url_key", F.col("page_id").desc()

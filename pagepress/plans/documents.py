@@ -32,21 +32,27 @@ def html_to_markdown(
 
 
 @memo
-def _fallback_input(html: str, md: str, min_words: int) -> Column:
+def _fallback_input(html: str, md: str, min_words: int, min_heading: int, min_body: int) -> Column:
     return F.when(
-        word_count(F.col(md)) < min_words, F.nullif(flight_html(F.col(html)), F.lit(""))
+        word_count(F.col(md)) < min_words,
+        F.nullif(flight_html(F.col(html), min_heading, min_body), F.lit("")),
     )
 
 
 def with_sparse_fallback(
-    df: DataFrame, html: str = "html", md: str = "markdown", min_words: int = config.MIN_WORDS
+    df: DataFrame,
+    html: str = "html",
+    md: str = "markdown",
+    min_words: int = config.MIN_WORDS,
+    min_heading: int = 1,
+    min_body: int = 1,
 ) -> DataFrame:
     """Replace a short result by the markdown of the page's flight data, if it has any.
 
     The fallback input is NULL for all other pages, and every step passes NULL through, so
     the second rendering costs next to nothing for them.
     """
-    df = df.withColumn("__flight", _fallback_input(html, md, min_words))
+    df = df.withColumn("__flight", _fallback_input(html, md, min_words, min_heading, min_body))
     df = html_to_markdown(df, "__flight", "__flight_md")
     return df.withColumn(md, F.coalesce(F.col("__flight_md"), F.col(md))).drop(
         "__flight", "__flight_md"
@@ -60,17 +66,22 @@ def extract(
     max_html_chars: int | None = None,
     max_words: int | None = None,
     max_alt_text: int | None = None,
+    min_words: int | None = None,
+    min_heading: int = 1,
+    min_body: int = 1,
 ) -> DataFrame:
     """Add ``title, description, metadata, markdown`` to pages with a normalized URL.
 
-    Pages, texts and alt texts are kept whole unless a limit is given.
+    Pages, texts and alt texts are kept whole unless a limit is given. Only with ``min_words`` a page
+    of fewer words gets its flight text instead.
     """
     df = with_metadata(df, html, url)
     df = with_main_content(df, html, "__content", max_html_chars)
     df = df.withColumn("__content", column_of(strip_elements, "__content"))
     df = df.withColumn("__content", column_of(absolutize_links, "__content", url))
     df = html_to_markdown(df, "__content", max_alt_text=max_alt_text).drop("__content")
-    df = with_sparse_fallback(df, html)
+    if min_words is not None:
+        df = with_sparse_fallback(df, html, "markdown", min_words, min_heading, min_body)
     return df if max_words is None else df.withColumn("markdown", cap_words(F.col("markdown"), max_words))
 
 

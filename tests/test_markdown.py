@@ -78,7 +78,7 @@ def test_flight(apply):
         + PUSH.format('{\\"children\\":\\"$' + body + '\\"}{\\"children\\":\\"short\\"}')
     )
     big = PUSH.format('{\\"children\\":\\"' + "x" * 100000 + '\\"}')
-    outs = apply(flight_html, "<p>no</p>", page, big, "<script>self.__next_f=[]</script>")
+    outs = apply(lambda c: flight_html(c, 3, 40), "<p>no</p>", page, big, "<script>self.__next_f=[]</script>")
     assert outs == ["", f"<h2>Title one</h2>\n<p>{body.strip()}</p>", "<p>" + "x" * 100000 + "</p>", ""]
 
 

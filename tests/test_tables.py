@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagepress.operators import snapshots, throttle
+from pagepress.plans.crawl import crawl_documents, write_crawl
 from pagepress.sources.pages import stream_pages, with_errors
 from pagepress.streaming.documents import document_stream, latest_version, upsert_batch
 from pagepress.streaming.throttle import throttle_batch
@@ -24,6 +25,26 @@ def test_errors(spark):
     ]
 
 
+def test_crawl_rows_end_as_documents_or_errors(spark, tmp_path):
+    page = "<html><head><title>T</title></head><body><article><h1>One</h1><p>text</p></article></body></html>"
+    rows = [
+        (1, "e.com/a", 200, "text/html", page), (2, None, 200, "text/html", page), (3, "e.com/c", 404, "text/html", page),
+        (4, "e.com/d", 200, "image/png", page), (5, "e.com/e", 200, "text/html", None), (6, "e.com/f", 200, "text/html", ""),
+        (6, "e.com/f", 200, "text/html", ""),
+    ]
+    crawl = spark.createDataFrame(rows, "page_id long, url string, status int, content_type string, html string")
+    write_crawl(crawl_documents(crawl), str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 7
+    assert {r.page_id: r.error for r in out.where("failed = 'true'").collect()} == {
+        2: "Missing URL", 3: "HTTP 404", 4: "Unsupported content type: image/png", 5: "No page was received",
+    }
+    good = {r.page_id: r for r in out.where("failed = 'false'").collect()}
+    assert set(good) == {1, 6} and "# One" in good[1].document and good[1].url_key == "https://e.com/a"
+    assert crawl_documents(crawl.limit(0)).collect() == []
+    assert "Exchange" not in crawl_documents(crawl)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ttl_edges(spark):
     table = snaps(spark, ("a", "A", NOW - 3599), ("b", "B", NOW - 3600))
     requests = spark.createDataFrame([("a",), ("b",), ("c",)], "url_key string")
