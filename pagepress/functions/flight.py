@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pagepress import config
 from pagepress.functions.text import let, replace_many, trim
 
 MARK = "__next_f"
@@ -36,13 +37,17 @@ def clean_text(c: Column) -> Column:
     return trim(replace_many(c, _CLEAN_ESCAPES))
 
 
-def elements(text: Column, min_heading: int = 1, min_body: int = 1) -> Column:
+def elements(
+    text: Column,
+    min_heading: int = config.FLIGHT_MIN_HEADING,
+    min_body: int = config.FLIGHT_MIN_BODY,
+) -> Column:
     """``array<struct<at, kind, level, text>>`` of headings (kind 0) and bodies (kind 1).
 
     One pattern finds both in text order. A body inside a heading's span could only be that
     heading's own text, which is never kept twice, so the shared scan loses nothing. Of equal
     texts a heading wins over a body, then the first one. Shorter texts than the least lengths are
-    left out; by default there is no least length.
+    left out.
     """
     found = F.transform(
         F.regexp_extract_all(text, F.lit(f"{_HEADING}|{_BODY}" % (min_heading, min_body)), F.lit(0)),
@@ -82,7 +87,11 @@ def elements(text: Column, min_heading: int = 1, min_body: int = 1) -> Column:
     )
 
 
-def flight_html(html: Column, min_heading: int = 1, min_body: int = 1) -> Column:
+def flight_html(
+    html: Column,
+    min_heading: int = config.FLIGHT_MIN_HEADING,
+    min_body: int = config.FLIGHT_MIN_BODY,
+) -> Column:
     """Small HTML document rebuilt from the flight data; ``""`` if there is none."""
 
     def wrap(e: Column) -> Column:

@@ -38,7 +38,7 @@ def crawl_documents(crawl: DataFrame, **limits: int | None) -> DataFrame:
     done = format_rows(extract(keyed, **limits)).withColumn("document", F.when(good, F.col("document")))
     return done.select(
         "page_id", F.col("crawl_url").alias("url"), "url_key",
-        *(F.when(good, F.col(c)).alias(c) for c in ("title", "description", "metadata", "markdown")),
+        *(F.when(good, F.col(c)).alias(c) for c in ("title", "description", "metadata", "markdown", "page_markdown")),
         "document",
         F.coalesce(F.col("error"), F.when(F.col("document").isNull(), UNREADABLE)).alias("error"),
     )

@@ -49,9 +49,13 @@ def with_sparse_fallback(
 ) -> DataFrame:
     """Replace a short result by the markdown of the page's flight data, if it has any.
 
+    The page's own result stays beside it as ``page_`` and the column's name. Flight texts of any
+    length count unless a least length is given.
+
     The fallback input is NULL for all other pages, and every step passes NULL through, so
     the second rendering costs next to nothing for them.
     """
+    df = df.withColumn(f"page_{md}", F.col(md))
     df = df.withColumn("__flight", _fallback_input(html, md, min_words, min_heading, min_body))
     df = html_to_markdown(df, "__flight", "__flight_md")
     return df.withColumn(md, F.coalesce(F.col("__flight_md"), F.col(md))).drop(
@@ -66,14 +70,15 @@ def extract(
     max_html_chars: int | None = None,
     max_words: int | None = None,
     max_alt_text: int | None = None,
-    min_words: int | None = None,
+    min_words: int | None = config.MIN_WORDS,
     min_heading: int = 1,
     min_body: int = 1,
 ) -> DataFrame:
-    """Add ``title, description, metadata, markdown`` to pages with a normalized URL.
+    """Add ``title, description, metadata, markdown, page_markdown`` to pages with a normalized URL.
 
-    Pages, texts and alt texts are kept whole unless a limit is given. Only with ``min_words`` a page
-    of fewer words gets its flight text instead.
+    Pages, texts and alt texts are kept whole unless a limit is given. ``markdown`` is the flight
+    text of a page of fewer than ``min_words`` words that has any (None: never); ``page_markdown``
+    is the text of the page itself in any case.
     """
     df = with_metadata(df, html, url)
     df = with_main_content(df, html, "__content", max_html_chars)
@@ -82,6 +87,8 @@ def extract(
     df = html_to_markdown(df, "__content", max_alt_text=max_alt_text).drop("__content")
     if min_words is not None:
         df = with_sparse_fallback(df, html, "markdown", min_words, min_heading, min_body)
+    else:
+        df = df.withColumn("page_markdown", F.col("markdown"))
     return df if max_words is None else df.withColumn("markdown", cap_words(F.col("markdown"), max_words))
 
 
@@ -99,6 +106,6 @@ def format_rows(df: DataFrame, url: str = "url_key") -> DataFrame:
 
 def page_documents(pages: DataFrame, **limits: int | None) -> DataFrame:
     """``page_id, url, html`` in; ``page_id, url_key, title, description, metadata, markdown,
-    document`` out. ``limits`` are those of :func:`extract`; by default nothing is cut."""
+    page_markdown, document`` out. ``limits`` are those of :func:`extract`; by default nothing is cut."""
     keyed = pages.select("page_id", column_of(normalize_url, "url").alias("url_key"), "html")
     return format_rows(extract(keyed, **limits)).drop("html")

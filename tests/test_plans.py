@@ -38,3 +38,11 @@ def test_no_query_uses_cross_joins(spark):
     for name in ("incremental_documents", "snapshot_lookup", "throttle_flags", "exclude_rules", "dedup_pages"):
         text = plan(QUERIES[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_own_text_stays_beside_the_fallback(spark):
+    html = '<article><h1>own</h1></article><script>self.__next_f.push([1,"{\\"children\\":\\"short\\"}"])</script>'
+    df = spark.createDataFrame([(1, "e.com", html)], "page_id long, url string, html string")
+    row = page_documents(df).collect()[0]
+    assert row.page_markdown == "# own" and row.markdown == "short"
+    assert page_documents(df, min_words=None).collect()[0].markdown == "# own"
