@@ -7,10 +7,16 @@ bodies are joined back by ``page_id``, which is unique.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pagepress import config
 
+HOT_ROWS = 1_000_000  # a key with fewer rows is no burden for one task
+HOT_SHARE = 1000
+SALTS = 200
+
 
 def latest_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in this order."""
@@ -36,28 +42,61 @@ def fresh(snapshots: DataFrame, now: int, ttl: int = config.SNAPSHOT_TTL_SECONDS
     return snapshots.where(is_fresh(F.col("created_at"), F.lit(now), ttl))
 
 
+def hot_keys(rows: DataFrame, key: str, least_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys with ``least_rows`` rows or more and over one in ``HOT_SHARE`` of all rows.
+
+    Fewer than ``HOT_SHARE`` keys can have such a part, so the most frequent ones hold them all. Rows are
+    counted before they are shuffled.
+    """
+    counted = rows.groupBy(F.xxhash64(key).alias("h")).agg(F.count("*").alias("n"))
+    first = counted.orderBy(F.col("n").desc()).limit(HOT_SHARE).where(F.col("n") >= least_rows).collect()
+    total = rows.count() if first else 0
+    return sorted(r["h"] for r in first if r["n"] * HOT_SHARE > total)
+
+
 def lookup(
-    requests: DataFrame, snapshots: DataFrame, now: int, ttl: int = config.SNAPSHOT_TTL_SECONDS
+    requests: DataFrame,
+    snapshots: DataFrame,
+    now: int,
+    ttl: int = config.SNAPSHOT_TTL_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Requests with the fresh ``document`` of their key and a ``HIT`` or ``MISS`` label.
 
-    The snapshot table has one row per key, so a hot request key cannot multiply rows.
+    The snapshot table has one row per key, so a hot request key cannot multiply rows. Requests of hot
+    keys are spread over ``SALTS`` parts by a hash of the whole row, and the one snapshot row of such a
+    key is repeated for each part. Which keys are hot changes the plan only.
     """
     stored = fresh(snapshots, now, ttl).select("url_key", "document", F.lit(True).alias("__hit"))
-    return requests.join(stored, "url_key", "left").select(
+    hot = hot_keys(requests, "url_key", hot_rows)
+    on, asked = ["url_key"], requests
+    if hot:
+        is_hot, on = F.xxhash64("url_key").isin(hot), ["url_key", "__salt"]
+        part = F.pmod(F.xxhash64(*requests.columns), F.lit(SALTS)).cast("int")
+        asked = requests.withColumn("__salt", F.when(is_hot, part).otherwise(0))
+        last = F.when(is_hot, SALTS - 1).otherwise(0)
+        stored = stored.withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
+    return asked.join(stored, on, "left").select(
         *requests.columns, "document", F.when(F.col("__hit"), "HIT").otherwise("MISS").alias("cache")
     )
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New version of the snapshot table: of equal keys the later write wins, then the new one."""
+    """New version of the snapshot table: of equal keys the later write wins, then the new one.
+
+    Rows whose key has no new write are taken over as they are, so they are not shuffled if Spark finds
+    the new keys small enough to broadcast.
+    """
     columns = ["url_key", "document", "created_at"]
-    both = old.select(*columns, F.lit(0).alias("__new")).unionByName(
-        new.select(*columns, F.lit(1).alias("__new"))
-    )
-    return latest_per_key(both, "url_key", F.col("created_at").desc(), F.col("__new").desc()).select(
-        *columns
+    keys = new.select(F.col("url_key").alias("__key"))
+    same = F.col("url_key").eqNullSafe(F.col("__key"))
+    both = (
+        old.join(keys, same, "left_semi")
+        .select(*columns, F.lit(0).alias("__new"))
+        .unionByName(new.select(*columns, F.lit(1).alias("__new")))
     )
+    winners = latest_per_key(both, "url_key", F.col("created_at").desc(), F.col("__new").desc())
+    return old.join(keys, same, "left_anti").select(*columns).unionByName(winners.select(*columns))
 
 
 def stale_pages(
@@ -80,6 +119,15 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def write_version(snapshots: DataFrame, root: str, version: int) -> None:
+def write_version(snapshots: DataFrame, root: str, version: int, kind: str = "version") -> None:
     """A version is written once and never changed; repeating a failed run replaces it."""
-    snapshots.write.mode("overwrite").parquet(f"{root}/version={version}")
+    snapshots.write.mode("overwrite").parquet(f"{root}/{kind}={version}")
+
+
+def read_deltas(spark: SparkSession, root: str, numbers: list[int]) -> DataFrame:
+    """Of each key the latest of these deltas' writes; of equal times the one of the later delta."""
+    parts = [
+        spark.read.parquet(f"{root}/delta={n}").withColumn("__delta", F.lit(n)) for n in numbers
+    ]
+    order = (F.col("created_at").desc(), F.col("__delta").desc())
+    return latest_per_key(reduce(DataFrame.unionByName, parts), "url_key", *order).drop("__delta")

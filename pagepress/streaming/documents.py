@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagepress.operators.snapshots import latest_per_key, read_version, upsert, write_version
+from pagepress.operators.snapshots import latest_per_key, read_deltas, read_version, upsert, write_version
 from pagepress.plans.documents import page_documents
 
 
@@ -13,26 +13,45 @@ def document_stream(pages: DataFrame) -> DataFrame:
     return page_documents(pages)
 
 
-def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int:
-    """Highest completely written version (below ``before``, if given); -1 if there is none."""
+def _written(spark: SparkSession, root: str, kind: str) -> list[int]:
+    """Numbers of the completely written versions or deltas, in order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return -1
-    versions = [-1]
-    for entry in fs.listStatus(path):
+    numbers = []
+    for entry in fs.listStatus(path) if fs.exists(path) else []:
         name = entry.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            versions.append(int(name.split("=")[1]))
-    return max(v for v in versions if before is None or v < before)
+        if name.startswith(f"{kind}=") and fs.exists(done):
+            numbers.append(int(name.split("=")[1]))
+    return sorted(numbers)
+
+
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """Highest completely written version (below ``before``, if given); -1 if there is none."""
+    return max((v for v in _written(spark, root, "version") if before is None or v < before), default=-1)
+
+
+def current_snapshots(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The snapshot table as of all batches (below ``before``, if given); None if there is none.
+
+    That is the last version with the deltas after it. Keys without a delta are read as they are.
+    """
+    base = latest_version(spark, root, before)
+    later = [n for n in _written(spark, root, "delta") if n > base and (before is None or n < before)]
+    if not later:
+        return None if base < 0 else read_version(spark, root, base)
+    recent = read_deltas(spark, root, later)
+    return recent if base < 0 else upsert(read_version(spark, root, base), recent)
 
 
-def upsert_batch(root: str, now: int | None = None):
-    """A ``foreachBatch`` function that writes batch ``n`` as version ``n`` of the table.
+def upsert_batch(root: str, now: int | None = None, merge_every: int = 1):
+    """A ``foreachBatch`` function that writes batch ``n`` of documents to the table.
 
-    Version ``n`` is always built from version ``n - 1`` or the last one before it, so a batch
-    that is run again after a failure gives the same version.
+    Every ``merge_every``-th batch writes the whole table as version ``n``; those between write their
+    own rows only, as delta ``n``, so a batch costs what it brings. Both are built from what batches
+    before ``n`` left, so a batch that is run again after a failure writes the same once more. Older
+    versions, and deltas up to the last version, are not read any more; who runs the stream deletes
+    them when no reader is left on them.
     """
 
     def run(documents: DataFrame, batch: int) -> None:
@@ -46,8 +65,15 @@ def upsert_batch(root: str, now: int | None = None):
             F.col("created_at").desc(),
             F.col("page_id").desc(),
         ).drop("page_id")
-        base = latest_version(spark, root, before=batch)
-        merged = new if base < 0 else upsert(read_version(spark, root, base), new)
-        write_version(merged, root, batch)
+        if (batch + 1) % merge_every:
+            write_version(new, root, batch, "delta")
+            return
+        if current_snapshots(spark, root, before=batch) is None:
+            write_version(new, root, batch)
+            return
+        # The new documents are read three times below: written first, they are rendered once.
+        write_version(new, root, batch, "delta")
+        new = read_deltas(spark, root, [batch])
+        write_version(upsert(current_snapshots(spark, root, before=batch), new), root, batch)
 
     return run

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagepress.operators import snapshots, throttle
 from pagepress.plans.crawl import crawl_documents, write_crawl
 from pagepress.sources.pages import stream_pages, with_errors
-from pagepress.streaming.documents import document_stream, latest_version, upsert_batch
+from pagepress.streaming.documents import current_snapshots, document_stream, latest_version, upsert_batch
 from pagepress.streaming.throttle import throttle_batch
 
 NOW = 100000
@@ -64,6 +64,56 @@ def test_upsert_and_stale(spark):
     assert sorted(r.page_id for r in todo.collect()) == [3, 4]
 
 
+def test_upsert_keeps_untouched_rows_off_the_shuffle(spark):
+    old = spark.range(1000).selectExpr("string(id) url_key", "'d' document", "id created_at").unionByName(
+        snaps(spark, (None, "none", 1))
+    )
+    new = snaps(spark, ("7", "later", 9), ("8", "late", 3), (None, "newer", 2), ("x", "new", 1))
+    merged = snapshots.upsert(old, new)
+    got = {r.url_key: (r.document, r.created_at) for r in merged.collect()}
+    assert merged.count() == len(got) == 1002
+    assert got["7"] == ("later", 9) and got["8"] == ("d", 8) and got[None] == ("newer", 2) and got["x"] == ("new", 1)
+    anti = snapshots.upsert(old, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in anti and "LeftSemi" in anti
+
+
+def test_lookup_spreads_a_hot_key(spark):
+    requests = spark.range(900).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
+        .otherwise(F.col("id").cast("string")).alias("url_key"),
+    )
+    table = snaps(spark, ("hot", "H", NOW), ("2", "two", NOW), ("5", "old", 1))
+    assert len(snapshots.hot_keys(requests, "url_key", 200)) == 2
+    assert snapshots.hot_keys(requests, "url_key") == [] and snapshots.hot_keys(requests.limit(0), "url_key", 1) == []
+    plain, spread = (
+        snapshots.lookup(requests, table, NOW, hot_rows=n).select("id", "url_key", "document", "cache")
+        for n in (snapshots.HOT_ROWS, 200)
+    )
+    assert sorted(plain.collect()) == sorted(spread.collect())
+    assert spread.where("cache = 'HIT'").count() == 301
+    assert "__salt" in spread._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deltas_between_versions(spark, tmp_path):
+    root, columns = str(tmp_path / "snap"), "page_id long, url_key string, document string, created_at long"
+    write = upsert_batch(root, merge_every=3)
+    batches = [
+        [(1, "a", "a0", 10), (2, "b", "b0", 10)], [(3, "a", "a1", 10), (4, "c", "c1", 5)], [(5, "b", "b2", 9)],
+        [(6, "c", "c3", 6)], [(7, "d", "d4", 1), (8, "d", "d4 last", 1), (9, "a", "a4 early", 2)],
+    ]
+    assert current_snapshots(spark, root) is None
+    model = {}
+    for n, rows in enumerate(batches):
+        for _, key, document, created in rows:
+            if key not in model or created >= model[key][1]:
+                model[key] = (document, created)
+        for _ in range(2):  # a batch that is run again changes nothing
+            write(spark.createDataFrame(rows, columns), n)
+            table = current_snapshots(spark, root).collect()
+            assert len(table) == len(model) and {r.url_key: (r.document, r.created_at) for r in table} == model
+    assert latest_version(spark, root) == 2
+
+
 def test_dedup_with_a_hot_key(spark):
     pages = spark.range(3000).select(
         F.col("id").alias("page_id"),
