@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagepress.llm import bpe, chat, langid, linededup, lm, mixing, pii, simhash, syncmers, vectors
+from pagepress.llm import (
+    bpe, chat, langid, linededup, lm, merkle, mixing, negatives, pieces, pii, simhash, syncmers, vectors,
+)
 from pagepress.llm.common import id_remainder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +90,39 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece counts and digests of all texts, encoded and decoded, each batch checked against the library."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), ids=False, check=True).drop("text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and what a third of them, lower-cased, fold to."""
+    values = {name: F.col(name) for name in merkle.FIELDS}
+    lowered = values | {"text": merkle.lowered(F.col("text"))}
+    tampered = id_remainder("doc_id", 3) == 0
+    claim = F.when(tampered, merkle.leaf(*lowered.values())).otherwise(merkle.leaf(*values.values()))
+    proven = merkle.manifest(_documents(spark, sf_dir), claim=claim)
+    folded = proven.withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector: the best rows of other labels scoring 30 to 90 percent of each positive."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.integers(rows.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_brown_class_scores, op3_line_dedup, op4_poisson_mixing, op5_personal_data,
         op6_near_vectors, op7_byte_bpe, op8_simhash_groups, op9_chat_round_trip, op10_language,
+        op11_piece_ids, op12_merkle_manifest, op13_hard_negatives,
     )
 }
 
@@ -99,4 +130,6 @@ ORACLE = {
     "op4_poisson_mixing": mixing.ORACLE_SQL,
     "op6_near_vectors": vectors.ORACLE_SQL,
     "op9_chat_round_trip": chat.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
