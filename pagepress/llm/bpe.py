@@ -21,6 +21,8 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagepress.llm.common import ddl
 
-BLOCK_CHARS = 4_000_000
-KNOWN_CHUNKS = 200_000  # chunks a task remembers between blocks; beyond it starts anew
+BLOCK_CHARS = 6_000_000
+KNOWN_CHUNKS = 300_000  # chunks a task remembers between blocks; beyond it starts anew
 # White space of the split pattern (the Unicode property), as a class for the plain regex module.
 _SPACE = "\t-\r \x85\xa0  -     　"
 # A piece never reaches from visible text over white space, so texts may be cut before white space.
@@ -203,20 +205,41 @@ def _together(at, rank, token, piece, left, right, vocabulary):
     return at[~waits], at[waits]
 
 
-def encode_texts(
-    texts: list[str], vocabulary: Vocabulary, known: dict[str, list[int]] | None = None
-) -> list[list[list[int]]]:
-    """For each text the token ids of its chunks. ``known`` holds chunks met before and gets the new ones."""
-    known = {} if known is None else known
-    rows = [_CHUNK.findall(t) for t in texts]
-    fresh = set().union(*rows).difference(known) if rows else set()
-    piece_no: dict[str, int] = {}
-    find = vocabulary.pattern.findall
-    parts = {c: [piece_no.setdefault(p, len(piece_no)) for p in find(c)] for c in fresh}
-    encoded = encode_pieces([p.encode() for p in piece_no], vocabulary)
-    for chunk, part in parts.items():
-        known[chunk] = encoded[part[0]] if len(part) == 1 else [i for p in part for i in encoded[p]]
-    return [[known[c] for c in row] for row in rows]
+class Chunks:
+    """What a task remembers of the chunks it met: ids as 32-bit integers, in decimals, and the bytes they decode to."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.decimal = [str(i) for i in range(len(vocabulary.tokens))]
+        self.coded: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of each text; afterwards all of them are known."""
+        if len(self.coded) > KNOWN_CHUNKS:
+            self.coded.clear()
+            self.said.clear()
+            self.raw.clear()
+        rows = [_CHUNK.findall(t) for t in texts]
+        fresh = list(set().union(*rows).difference(self.coded)) if rows else []
+        find, number = self.vocabulary.pattern.findall, defaultdict()
+        number.default_factory = number.__len__
+        parts = [[number[p] for p in find(chunk)] for chunk in fresh]
+        encoded = encode_pieces([p.encode() for p in number], self.vocabulary)
+        decimal, tokens = self.decimal, self.vocabulary.tokens
+        for chunk, part in zip(fresh, parts, strict=True):
+            ids = encoded[part[0]] if len(part) == 1 else [i for p in part for i in encoded[p]]
+            self.coded[chunk] = array("i", ids).tobytes()
+            self.said[chunk] = ",".join([decimal[i] for i in ids])
+            self.raw[chunk] = b"".join([tokens[i] for i in ids])
+        return rows
+
+
+def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[list[int]]:
+    """The token ids of each text."""
+    chunks = Chunks(vocabulary)
+    return [array("i", b"".join(map(chunks.coded.__getitem__, row))).tolist() for row in chunks.split(texts)]
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,43 +263,32 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, *, ids: bool = True)
     ``decoded_sha256`` hashes the bytes that the ids decode to. Null and empty texts have no tokens.
     Further columns are kept; a column with one of the new names is replaced. Repeated rows stay.
     """
-    tokens = load_ranks(vocab_path)
+    vocabulary = Vocabulary(load_ranks(vocab_path), pattern)  # a few MB of fixed size, sent along with the code
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids
     kept = [c for c in docs.columns if c not in new]
     frame = docs.select(*kept).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     schema = f"{ddl(frame)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
 
     def run(batches):
-        vocabulary = Vocabulary(tokens, pattern)
-        known: dict[str, list[int]] = {}
+        chunks = Chunks(vocabulary)
         for block in _blocks(batches):
-            if len(known) > KNOWN_CHUNKS:
-                known.clear()
-            rows = encode_texts(block.column("text").to_pylist(), vocabulary, known)
-            columns = _digests(rows, vocabulary)
-            if ids:
-                columns.append(pa.array([[i for c in row for i in c] for row in rows], pa.list_(pa.int32())))
+            columns = _columns(chunks.split(block.column("text").to_pylist()), chunks, ids)
             yield pa.RecordBatch.from_arrays([*block.columns, *columns], names=[*block.schema.names, *new])
 
     return frame.mapInArrow(run, schema)
 
 
-def _digests(rows: list[list[list[int]]], vocabulary: Vocabulary) -> list[pa.Array]:
-    said: dict[int, tuple[str, bytes]] = {}
-    lengths, hashed, decoded = [], [], []
-    for row in rows:
-        texts, raw = [], []
-        for chunk in row:
-            known = said.get(id(chunk))
-            if known is None:
-                known = ",".join(map(str, chunk)), b"".join(vocabulary.tokens[i] for i in chunk)
-                said[id(chunk)] = known
-            texts.append(known[0])
-            raw.append(known[1])
-        lengths.append(sum(map(len, row)))
-        hashed.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
-        decoded.append(hashlib.sha256(b"".join(raw)).hexdigest())
-    return [pa.array(lengths, pa.int64()), pa.array(hashed), pa.array(decoded)]
+def _columns(rows: list[list[str]], chunks: Chunks, ids: bool) -> list[pa.Array]:
+    coded, said, raw = chunks.coded.__getitem__, chunks.said.__getitem__, chunks.raw.__getitem__
+    hashed = [hashlib.sha256(",".join(map(said, row)).encode()).hexdigest() for row in rows]
+    decoded = [hashlib.sha256(b"".join(map(raw, row))).hexdigest() for row in rows]
+    codes = [b"".join(map(coded, row)) for row in rows]
+    ends = np.cumsum([0] + [len(c) // 4 for c in codes])
+    columns = [pa.array(np.diff(ends), pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
+    if ids:
+        flat = pa.array(np.frombuffer(b"".join(codes), np.int32))
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+    return columns
 
 
 def decode(frame: DataFrame, vocab_path: str, column: str = "token_ids") -> DataFrame:
