@@ -210,6 +210,44 @@ def test_mixing(spark, odd):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_poisson_steps_have_the_moments_of_their_rate():
+    for rate in (0.001, 0.3, 1.0, 17.5, 699.0, 1000.0, 100_000.0):
+        least, steps = mixing.poisson_steps(rate)
+        mass = np.diff(steps, prepend=0.0)
+        at = least + np.arange(len(steps))
+        mean = (mass * at).sum()
+        assert abs(mean / rate - 1) < 1e-9 and abs((mass * (at - mean) ** 2).sum() / rate - 1) < 1e-6
+        assert steps[-1] == 1.0 and (mass >= 0).all()
+        if rate < 700:  # the plain recursion
+            p = total = math.exp(-rate)
+            for k in range(least + len(steps)):
+                assert k < least or abs(steps[k - least] - total) < 1e-11
+                p *= rate / (k + 1)
+                total += p
+    assert mixing.poisson_steps(0.0)[1].tolist() == [1.0]
+
+
+def test_mixing_rates_and_weights(spark, monkeypatch):
+    few = frame(spark, [(i, f"t{i}", "a") for i in range(5)])
+    assert abs(mixing.mix(few, target_rows=50_000).count() - 50_000) < 5 * 224
+    rows = frame(spark, [(i, f"t{i}", "ab"[i % 2]) for i in range(200)])
+    given = lambda *pairs: spark.createDataFrame(list(pairs), "source string, weight double")
+    for weights in (given(("a", 0.0), ("b", 0.0)), given(("c", 1.0)), given(("a", -1.0)), given(("a", None), ("b", float("nan"))), given(("a", 1.0)).limit(0)):
+        assert mixing.mix(rows, weights).count() == 0
+    only = mixing.mix(rows, given(("a", 1.0), ("a", 0.5), ("b", -3.0)))
+    assert {r.source for r in only.collect()} == {"a"} and abs(only.count() - 200) < 80
+    # Too many sources to broadcast: the salted join gives the same rows.
+    plain = sorted(tuple(r) for r in mixing.mix(rows).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted(tuple(r) for r in mixing.mix(rows).collect()) == plain
+
+
+def test_mixing_moves_documents_once(spark):
+    plan = mixing.mix(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"(?<!Broadcast)Exchange (\w+)", plan)
+    assert moves == ["shufflepartitionidpassthrough"] and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
