@@ -24,6 +24,7 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagepress.llm.common import ddl
 
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 16_000_000
 KNOWN_CHUNKS = 300_000  # chunks a task remembers between blocks; beyond it starts anew
 # White space of the split pattern (the Unicode property), as a class for the plain regex module.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -118,25 +119,24 @@ class _Index:
         return rank, at[np.r_[True, at[1:] != at[:-1]]]
 
 
-def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """Token ids of each piece."""
-    out: list[list[int] | None] = [None] * len(pieces)
-    rest = []
-    for i, piece in enumerate(pieces):
-        whole = vocabulary.rank.get(piece)
-        if whole is not None:
-            out[i] = [whole]
-        elif piece:
-            rest.append(i)
-        else:
-            out[i] = []
-    if rest:
-        for i, ids in zip(rest, _replay([pieces[i] for i in rest], vocabulary), strict=True):
-            out[i] = ids
-    return out
-
-
-def _replay(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
+def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces one after another, and how many each piece has."""
+    ids = np.array([vocabulary.rank.get(piece, -1) for piece in pieces], dtype=np.int64)
+    counts = np.array([1 if piece else 0 for piece in pieces], dtype=np.int64)
+    rest = np.flatnonzero((ids < 0) & (counts > 0))
+    if not len(rest):
+        return ids[counts > 0], counts
+    merged, found = _replay([pieces[i] for i in rest.tolist()], vocabulary)
+    counts[rest] = found
+    starts = np.cumsum(counts) - counts
+    flat = np.empty(counts.sum(), dtype=np.int64)
+    whole = ids >= 0
+    flat[starts[whole]] = ids[whole]
+    flat[np.repeat(starts[rest] - (np.cumsum(found) - found), found) + np.arange(len(merged))] = merged
+    return flat, counts
+
+
+def _replay(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(p) for p in pieces], dtype=np.int64)
     token = vocabulary.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
     piece = np.repeat(np.arange(len(pieces)), lengths)
@@ -171,10 +171,7 @@ def _replay(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         touched = touched[np.r_[True, touched[1:] != touched[:-1]][: len(touched)]]
         standing[touched] = vocabulary.pair_ranks(token[touched], token[right[touched]])
         index.add(standing[touched], touched)
-    counts = np.bincount(piece[alive], minlength=len(pieces))
-    ids = token[alive].tolist()
-    ends = np.cumsum(counts).tolist()
-    return [ids[e - c : e] for e, c in zip(ends, counts.tolist(), strict=True)]
+    return token[alive], np.bincount(piece[alive], minlength=len(pieces))
 
 
 def _together(at, rank, token, piece, left, right, vocabulary):
@@ -211,28 +208,43 @@ class Chunks:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.decimal = [str(i) for i in range(len(vocabulary.tokens))]
-        self.coded: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+        self._start()
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The chunks of each text; afterwards all of them are known."""
+    def _start(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.coded: list[bytes] = []
+        self.said: list[str] = []
+        self.raw: list[bytes] = []
+
+    def split(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of the chunks of each text; afterwards all of them are known."""
         if len(self.coded) > KNOWN_CHUNKS:
-            self.coded.clear()
-            self.said.clear()
-            self.raw.clear()
-        rows = [_CHUNK.findall(t) for t in texts]
-        fresh = list(set().union(*rows).difference(self.coded)) if rows else []
+            self._start()
+        # A chunk not met before gets the next number.
+        rows = [list(map(self.number.__getitem__, _CHUNK.findall(t))) for t in texts]
+        fresh = list(islice(self.number, len(self.coded), None))
         find, number = self.vocabulary.pattern.findall, defaultdict()
         number.default_factory = number.__len__
         parts = [[number[p] for p in find(chunk)] for chunk in fresh]
-        encoded = encode_pieces([p.encode() for p in number], self.vocabulary)
-        decimal, tokens = self.decimal, self.vocabulary.tokens
-        for chunk, part in zip(fresh, parts, strict=True):
-            ids = encoded[part[0]] if len(part) == 1 else [i for p in part for i in encoded[p]]
-            self.coded[chunk] = array("i", ids).tobytes()
-            self.said[chunk] = ",".join([decimal[i] for i in ids])
-            self.raw[chunk] = b"".join([tokens[i] for i in ids])
+        flat, counts = encode_pieces([p.encode() for p in number], self.vocabulary)
+        ends = np.cumsum(counts).tolist()
+        spans = list(zip([0, *ends], ends, strict=False))
+        coded, flat = flat.astype(np.int32).tobytes(), flat.tolist()
+        decimals, tokens = list(map(self.decimal.__getitem__, flat)), list(map(self.vocabulary.tokens.__getitem__, flat))
+        codes = [coded[4 * a : 4 * b] for a, b in spans]
+        says = [",".join(decimals[a:b]) for a, b in spans]
+        raws = [b"".join(tokens[a:b]) for a, b in spans]
+        for part in parts:
+            if len(part) == 1:
+                at = part[0]
+                self.coded.append(codes[at])
+                self.said.append(says[at])
+                self.raw.append(raws[at])
+            else:
+                self.coded.append(b"".join([codes[at] for at in part]))
+                self.said.append(",".join([says[at] for at in part]))
+                self.raw.append(b"".join([raws[at] for at in part]))
         return rows
 
 
@@ -278,16 +290,18 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, *, ids: bool = True)
     return frame.mapInArrow(run, schema)
 
 
-def _columns(rows: list[list[str]], chunks: Chunks, ids: bool) -> list[pa.Array]:
+def _columns(rows: list[list[int]], chunks: Chunks, ids: bool) -> list[pa.Array]:
     coded, said, raw = chunks.coded.__getitem__, chunks.said.__getitem__, chunks.raw.__getitem__
-    hashed = [hashlib.sha256(",".join(map(said, row)).encode()).hexdigest() for row in rows]
-    decoded = [hashlib.sha256(b"".join(map(raw, row))).hexdigest() for row in rows]
-    codes = [b"".join(map(coded, row)) for row in rows]
-    ends = np.cumsum([0] + [len(c) // 4 for c in codes])
-    columns = [pa.array(np.diff(ends), pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
+    counts, hashed, decoded = [], [], []
+    for row in rows:
+        decimals = ",".join(map(said, row))
+        counts.append(decimals.count(",") + 1 if row else 0)
+        hashed.append(hashlib.sha256(decimals.encode()).hexdigest())
+        decoded.append(hashlib.sha256(b"".join(map(raw, row))).hexdigest())
+    columns = [pa.array(counts, pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
     if ids:
-        flat = pa.array(np.frombuffer(b"".join(codes), np.int32))
-        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+        flat = pa.array(np.frombuffer(b"".join([b"".join(map(coded, row)) for row in rows]), np.int32))
+        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat))
     return columns
 
 
