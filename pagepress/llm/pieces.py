@@ -14,8 +14,10 @@ are computed once per task however often the fragment occurs. Fragments remember
 Short fragments take their steps together: row by row the agenda's best pair is merged, in one numpy step
 for all of them, and rows whose agenda is empty leave. Long ones have their agenda as a heap.
 
-Each Arrow batch can be checked against the sentencepiece library on the spot: ``check=True`` encodes and
-decodes the batch's texts with it too and tells in ``agrees`` whether all is equal.
+Each Arrow batch can be checked against the sentencepiece library on the spot (``check=True``). It encodes
+every fragment that is new to the task, between line feeds that no piece reaches over, and decodes the ids of
+every text; a block whose fragments differ is encoded by the library text by text. ``agrees`` tells whether ids
+and text are equal. In a model with pieces over line feeds or white space every text is encoded by it.
 
 No shuffle, no join: a text stays one row of one task, whatever its source or copies. Null and empty texts
 have no pieces (only the begin and end ids, if asked for). Rows, repeated ones too, and further columns stay;
@@ -28,8 +30,10 @@ import codecs
 import hashlib
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,11 @@ from sentencepiece import sentencepiece_model_pb2
 
 from pagepress.llm.common import ddl
 
-BLOCK_CHARS = 1_000_000  # of texts taken from a batch at a time, one text at least
+BLOCK_CHARS = 4_000_000  # of texts taken from a batch at a time, one text at least
 KNOWN_CHARS = 4_000_000  # of fragments a task remembers
-LONG_FRAGMENT = 64  # longer fragments are not remembered
 SHORT = 24  # fragments of so many characters at most take their steps together
 MARK = "▁"
+BREAK = "\n"
 _NEVER = np.iinfo(np.int32).max
 _AT = (1 << 32) - 1
 
@@ -81,9 +85,9 @@ class Model:
         self.unknown_text = trainer.unk_surface
         self.silent = {i for i, (_, _, kind) in enumerate(rows) if kind == kinds.CONTROL}
         self.split = _splitter(self.ids).findall
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.known_chars = 0
         self._codes = None
+        self.fresh: list[str] = []  # fragments first met in the last block
+        self.number: defaultdict[str, int] | None = None
 
     def normalize(self, text: str) -> str:
         return (MARK * self.prefix + text if text else text).replace(" ", MARK)
@@ -157,22 +161,37 @@ class Model:
         out.append(run.decode("utf-8", "each_byte"))
         return "".join(out)
 
-    def look_up(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
-        """For each text its fragments' ids, as bytes, and decoded texts."""
-        rows = [self.split(self.normalize(t)) for t in texts]
-        if self.known_chars > KNOWN_CHARS:
-            self.known.clear()
-            self.known_chars = 0
-        found = self.known
-        fresh = list(set().union(*rows).difference(found)) if rows else []
-        new = dict(zip(fresh, self.encode_fragments(fresh), strict=True))
-        long = {f for f in fresh if len(f) > LONG_FRAGMENT}
-        found.update(new)
-        out = [[found[f] for f in row] for row in rows]
-        for fragment in long:
-            del found[fragment]
-        self.known_chars += sum(len(f) for f in fresh if f not in long)
-        return out
+    def _start(self) -> None:
+        self.number = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.coded: list[bytes] = []
+        self.said: list[str] = []
+        self.known_chars = 0
+
+    def look_up(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's fragments; ``coded`` has their ids as bytes, ``said`` the texts they decode to."""
+        if self.number is None or self.known_chars > KNOWN_CHARS:
+            self._start()
+        # A fragment not met before gets the next number.
+        rows = [list(map(self.number.__getitem__, self.split(self.normalize(t)))) for t in texts]
+        self.fresh = list(islice(self.number, len(self.coded), None))
+        self.known_chars += sum(map(len, self.fresh))
+        for coded, said in self.encode_fragments(self.fresh):
+            self.coded.append(coded)
+            self.said.append(said)
+        return rows
+
+    def differs(self, library: sentencepiece.SentencePieceProcessor) -> bool:
+        """Whether the library encodes the fragments first met in the last block otherwise, or cannot be asked so."""
+        between = self.encode_fragment(BREAK)
+        if self.split(f"a{BREAK}{MARK}") != ["a", BREAK, MARK]:
+            return True
+        asked = BREAK.join(["", *(fragment.replace(MARK, " ") for fragment in self.fresh)])
+        own = [array("I", self.encode_fragment(MARK)).tobytes()] if self.prefix and asked else []
+        line = array("I", between).tobytes()
+        for coded in self.coded[len(self.coded) - len(self.fresh) :]:
+            own += [line, coded]
+        return array("I", library.encode(asked)).tobytes() != b"".join(own)
 
     def encode_fragments(self, fragments: list[str]) -> list[tuple[bytes, str]]:
         """Ids, as bytes, and decoded text of each fragment."""
@@ -342,9 +361,11 @@ def encode(docs: DataFrame, model_path: str, *, ids: bool = True, ends: bool = T
         for block in _blocks(batches):
             texts = block.column("text").to_pylist()
             counts, hashed, decoded, coded, agrees = [], [], [], [], []
-            for text, parts in zip(texts, model.look_up(texts), strict=True):
-                coding = first + b"".join([p[0] for p in parts]) + last
-                said = "".join([p[1] for p in parts])
+            found = model.look_up(texts)
+            doubt = check and model.differs(library)
+            for text, parts in zip(texts, found, strict=True):
+                coding = first + b"".join(map(model.coded.__getitem__, parts)) + last
+                said = "".join(map(model.said.__getitem__, parts))
                 said = said[1:] if model.prefix and said.startswith(" ") else said
                 counts.append(len(coding) // 4)
                 hashed.append(hashlib.sha256(coding).hexdigest())
@@ -352,8 +373,8 @@ def encode(docs: DataFrame, model_path: str, *, ids: bool = True, ends: bool = T
                 if ids:
                     coded.append(array("I", coding).tolist())
                 if check:
-                    theirs = library.encode(text, add_bos=ends, add_eos=ends)
-                    agrees.append(array("I", theirs).tobytes() == coding and library.decode(theirs) == said)
+                    same = not doubt or array("I", library.encode(text, add_bos=ends, add_eos=ends)).tobytes() == coding
+                    agrees.append(same and library.decode(array("I", coding).tolist()) == said)
             columns = [pa.array(counts, pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
             columns += [pa.array(coded, pa.list_(pa.int32()))] if ids else []
             columns += [pa.array(agrees, pa.bool_())] if check else []

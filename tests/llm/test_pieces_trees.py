@@ -40,7 +40,7 @@ def test_fragments_equal_the_library(model, library):
     texts += ["", " ", "x" * 30_000, " " * 3000, "ab" * 5000, "</s><s><0x0A>", "▁▁the", "the of and " * 50]
     for text, parts in zip(texts, model.look_up(texts), strict=True):
         theirs = library.encode(text)
-        assert b"".join(p[0] for p in parts) == array("I", theirs).tobytes()
+        assert b"".join(model.coded[p] for p in parts) == array("I", theirs).tobytes()
         assert model.decode(theirs) == library.decode(theirs)
     # One step at a time and all together give the same.
     fragments = sorted({f for t in texts for f in model.split(model.normalize(t))})
@@ -54,7 +54,18 @@ def test_known_fragments_start_anew(library, monkeypatch):
     monkeypatch.setattr(pieces, "KNOWN_CHARS", 5)
     small = pieces.load(PATH)
     for text in ("one two", "two three", "one four " + "y" * 100, "two"):
-        assert b"".join(p[0] for p in small.look_up([text])[0]) == array("I", library.encode(text)).tobytes()
+        assert b"".join(small.coded[p] for p in small.look_up([text])[0]) == array("I", library.encode(text)).tobytes()
+
+
+def test_check_finds_differences(library, model):
+    texts = ["one two\nthree", "x\n\ny z▁▁", "…?! tail"]
+    fresh = pieces.load(PATH)
+    fresh.look_up(texts)
+    assert not fresh.differs(library)
+    fresh.coded[2] = array("I", [5]).tobytes()
+    assert fresh.differs(library)
+    fresh.look_up(texts)
+    assert not fresh.fresh and not fresh.differs(library)
 
 
 def test_piece_ids(spark, library):
