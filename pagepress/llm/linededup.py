@@ -18,7 +18,8 @@ Steps, each over all lines:
 4. All other lines. A line of n tokens has a prefix of n - ceil(0.8 n) + 1 rarest tokens. Two similar
    lines share one; at their first shared token the positions bound the overlap (positional filter,
    which holds the length filter), and 64-bit parity maps of the sets bound the difference from below.
-5. Candidates are verified by the Jaccard similarity of the tokens themselves.
+   The join itself then compares the whole sets and ends at a line's first match, so that no pairs are listed.
+5. The pairs of step 3 are verified by the Jaccard similarity of the tokens themselves.
 
 Decisions are line numbers, kept as bits for each document. They are joined to the documents, as a
 broadcast if counted to be small, else by a shuffle.
@@ -166,30 +167,36 @@ def _hub_candidates(lines: DataFrame) -> DataFrame:
     )
 
 
-def _prefix_candidates(sets: DataFrame) -> DataFrame:
-    """Pairs of line hashes that share a prefix token within the filters; the later line is not settled.
+def _similar(a: Column, b: Column) -> Column:
+    """Jaccard of 0.8 or more between two sets of token numbers."""
+    return 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
 
-    Settled lines have their token number negative, which rules them out as the later line. That is said
-    in the join, not in a filter, so that both sides are the same shuffle.
+
+def _matched(sets: DataFrame) -> DataFrame:
+    """Places of the lines that are not settled and have an earlier line that matches.
+
+    Lines meet on their prefix tokens. The filters and the whole sets of token numbers (16 bits of the counter and 47
+    of the hash) are compared in the join itself, a semi-join: a line stops at its first match and leaves once for
+    a prefix token at most, so that a group of near copies makes no table of pairs. The later side is read with
+    the settled lines left out, from the written sets.
     """
     n = F.col("n")
     prefix = F.slice("sorted", F.lit(1), (n - F.floor((4 * n + 4) / 5) + 1).cast("int"))
     rows = sets.select(
-        F.posexplode(prefix).alias("at", "token"), "h", "bits",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"),
-        F.when(F.col("settled"), -n).otherwise(n).alias("n"),
-    ).filter("token is not null")
-    x = rows.select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
-    y = rows.select(*(F.col(c).alias(f"y_{c}") for c in rows.columns))
-    nx, ny = F.abs("x_n"), F.col("y_n")
-    shared = 1 + F.least(nx - F.col("x_at") - 1, ny - F.col("y_at") - 1)
-    met = x.join(
-        y,
-        (F.col("x_token") == F.col("y_token")) & (nx * ny > 0) & (F.col("x_h") != F.col("y_h"))
-        & (F.col("x_doc") <= F.col("y_doc")) & (9 * shared >= 4 * (nx + ny))
-        & _possible(nx, ny, F.col("x_bits"), F.col("y_bits")),
+        "doc_id", "text_hash", "line_no", F.posexplode(prefix).alias("at", "token"), "h", "bits", "sorted", "n", "settled"
+    )
+    place = F.struct("doc_id", "text_hash", "line_no")
+    y = rows.filter(~F.col("settled")).drop("settled").withColumn("place", place).drop("doc_id", "text_hash", "line_no")
+    x = rows.drop("settled").withColumn("place", place).drop("doc_id", "text_hash", "line_no")
+    x = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns))
+    shared = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, n - F.col("at") - 1)
+    met = y.join(
+        x,
+        (F.col("x_token") == F.col("token")) & (F.col("x_place") < F.col("place")) & (9 * shared >= 4 * (F.col("x_n") + n))
+        & _possible(F.col("x_n"), n, F.col("x_bits"), F.col("bits")) & _similar(F.col("x_sorted"), F.col("sorted")),
+        "left_semi",
     )
-    return met.select(F.col("y_h").alias("later"), F.col("x_h").alias("earlier"))
+    return met.select("place.*").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -219,7 +226,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     settled = _by_document(_verified(_hub_candidates(_lines(distinct)), distinct))
     flagged = _attach(distinct, settled, "settled_bits")
     rows = _lines(flagged, "gone", "settled_bits").withColumn("settled", _marked("settled_bits", F.col("line_no")))
-    found = _verified(_prefix_candidates(_with_sets(rows.drop("settled_bits"), rank)), distinct)
+    found = _matched(cut(_with_sets(rows.drop("settled_bits"), rank)))
     every = _places(repeats).unionByName(_places(settled)).unionByName(found)
     return _by_document(every)
 
