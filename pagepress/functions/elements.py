@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress import config
-from pagepress.functions.text import WS, let
+from pagepress.functions.text import WS, let, scan_strings
 from pagepress.functions.urls import resolve_url
 
 # Attributes inside a tag: quoted values may hold ">". A quote opens a value only right after "=";
@@ -148,110 +148,101 @@ _MAY_MATCH = "<(?i:{tags})\\b|\\s(?i:class|id|{attrs})\\b".format(
 )
 
 
-def _kept_runs(marks: Column, total: Column) -> Column:
-    """Runs of token positions that lie in no excluded element.
+def _open_tags(stack: Column) -> Column:
+    return F.aggregate(stack, F.lit(0), lambda n, run: n + run["n"])
 
-    ``marks`` are the tag tokens as ``struct<at, kind, tag, void, excluded>``. The state is
-    the stack of open tags (innermost first) and the depth at which removal began. A close
-    tag pops up to the nearest open tag of that name, so an excluded element without a close
-    ends with the innermost enclosing element that has one.
-    """
 
-    def fold(acc: Column, m: Column) -> Column:
-        pos = F.array_position(acc["stack"], m["tag"]).cast("int")
-        depth = F.size(acc["stack"])
-        removing = acc["removed_at"] > 0
-        runs_to_here = F.when(
-            acc["start"] < m["at"],
-            F.concat(
-                acc["runs"],
-                F.array(F.struct(acc["start"].alias("start"), m["at"].alias("stop"))),
-            ),
-        ).otherwise(acc["runs"])
+def _push(stack: Column, tag: Column) -> Column:
+    """The stack with one more tag. It holds runs of equal tags, innermost first, as each step copies it."""
+    head = F.get(stack, F.lit(0))
+    run = lambda n: F.array(F.struct(tag.alias("tag"), n.alias("n")))
+    return F.when(head["tag"] == tag, F.concat(run(head["n"] + 1), F.slice(stack, F.lit(2), F.size(stack)))).otherwise(
+        F.concat(run(F.lit(1)), stack)
+    )
 
-        def state(stack, removed_at, start, runs) -> Column:
-            return F.struct(
-                stack.alias("stack"), removed_at.alias("removed_at"), start.alias("start"),
-                runs.alias("runs"),
-            )
 
-        pushed = F.concat(F.array(m["tag"]), acc["stack"])
-        begins = m["excluded"] & ~removing
-        on_leaf = F.when(begins, state(acc["stack"], acc["removed_at"], m["at"] + 1, runs_to_here)).otherwise(acc)
-        on_open = F.when(begins, state(pushed, depth + 1, acc["start"], runs_to_here)).otherwise(
-            state(pushed, acc["removed_at"], acc["start"], acc["runs"])
-        )
-        popped = F.slice(acc["stack"], pos + 1, F.greatest(depth - pos, F.lit(0)))
-        ends = removing & (depth - pos < acc["removed_at"])
-        own_close = depth - pos + 1 == acc["removed_at"]
-        on_close = (
-            F.when(pos == 0, acc)
-            .when(
-                ends,
-                state(
-                    popped, F.lit(0), F.when(own_close, m["at"] + 1).otherwise(m["at"]), acc["runs"]
-                ),
-            )
-            .otherwise(state(popped, acc["removed_at"], acc["start"], acc["runs"]))
+def _pop(stack: Column, tag: Column) -> Column:
+    """The stack without the innermost tag of this name and those inside it; NULL if there is none."""
+    place = F.array_position(F.transform(stack, lambda run: run["tag"]), tag).cast("int")
+
+    def behind(at: Column) -> Column:
+        left = F.slice(stack, at + 1, F.size(stack))
+        n = F.get(stack, at - 1)["n"]
+        return F.when(at == 0, None).when(n == 1, left).otherwise(
+            F.concat(F.array(F.struct(tag.alias("tag"), (n - 1).alias("n"))), left)
         )
-        return F.when(m["kind"] == "close", on_close).when(m["void"], on_leaf).otherwise(on_open)
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        F.lit(0).alias("removed_at"),
-        F.lit(0).alias("start"),
-        F.array().cast("array<struct<start:int,stop:int>>").alias("runs"),
-    )
-    return let(
-        F.aggregate(marks, start, fold),
-        lambda s: F.when(
-            (s["removed_at"] == 0) & (s["start"] < total),
-            F.concat(
-                s["runs"], F.array(F.struct(s["start"].alias("start"), total.alias("stop")))
-            ),
-        ).otherwise(s["runs"]),
+    return let(place, behind)
+
+
+def _advance(state: Column, t: Column) -> Column:
+    """The state behind a token: the stack of open tags and, while removing, the depth at which that began.
+
+    A close tag ends the innermost open tag of its name with all inside it, so an excluded element without a
+    close ends with the innermost enclosing element that has one.
+    """
+
+    def of(stack: Column, removed_at: Column) -> Column:
+        return F.struct(stack.alias("stack"), removed_at.alias("removed_at"))
+
+    def closed(left: Column) -> Column:
+        ends = (state["removed_at"] > 0) & (_open_tags(left) < state["removed_at"])
+        return F.when(left.isNull(), state).otherwise(of(left, F.when(ends, 0).otherwise(state["removed_at"])))
+
+    begins = t["excluded"] & (state["removed_at"] == 0)
+    depth = F.when(begins, _open_tags(state["stack"]) + 1).otherwise(state["removed_at"])
+    return (
+        F.when(t["role"] == "close", let(_pop(state["stack"], t["tag"]), closed))
+        .when(t["role"] == "open", of(_push(state["stack"], t["tag"]), depth))
+        .otherwise(state)
     )
 
 
-def _marks(toks: Column, foreign: Column) -> Column:
-    """Tag tokens as ``struct<at, kind, tag, void, excluded>``."""
-    return F.filter(
-        F.transform(
-            toks,
-            lambda t, i: F.struct(
-                i.alias("at"),
-                t["kind"].alias("kind"),
+def _emitted(t: Column, before: Column, after: Column) -> Column:
+    """The token's text, unless it lies in an excluded element or is its tag."""
+    removing = before["removed_at"] > 0
+    # An enclosing element's close ends the removal and stays; the element's own close goes.
+    ended_from_outside = (after["removed_at"] == 0) & (_open_tags(after["stack"]) + 1 < before["removed_at"])
+    return F.when(removing, F.when(ended_from_outside, t["text"]).otherwise("")).when(t["excluded"], "").otherwise(t["text"])
+
+
+def _roles(toks: Column, foreign: Column) -> Column:
+    """``array<struct<role, tag, excluded, text>>``: open and close for tags that matter to the stack.
+
+    Tags that are never closed end nothing, and closes of tags that are never opened nothing either.
+    """
+
+    def names(kind: str) -> Column:
+        return F.array_distinct(F.transform(F.filter(toks, lambda t: t["kind"] == kind), lambda t: t["tag"]))
+
+    def of(closes: Column, opens: Column) -> Column:
+        def role(t: Column) -> Column:
+            empty = t["tag"].isin(VOID_TAGS) | (foreign & F.endswith(t["text"], F.lit("/>")))
+            excluded = is_excluded(t)
+            return F.struct(
+                F.when((t["kind"] == "close") & F.array_contains(opens, t["tag"]), "close")
+                .when((t["kind"] == "open") & ~empty & (excluded | F.array_contains(closes, t["tag"])), "open")
+                .otherwise("other")
+                .alias("role"),
                 t["tag"].alias("tag"),
-                (
-                    (t["kind"] == "raw")
-                    | t["tag"].isin(VOID_TAGS)
-                    | (foreign & F.endswith(t["text"], F.lit("/>")))
-                ).alias("void"),
-                is_excluded(t).alias("excluded"),
-            ),
-        ),
-        lambda m: m["tag"].isNotNull(),
-    )
+                excluded.alias("excluded"),
+                t["text"].alias("text"),
+            )
+
+        return F.transform(toks, role)
+
+    return let(names("close"), lambda closes: let(names("open"), lambda opens: of(closes, opens)))
 
 
 def _strip(toks: Column) -> Column:
     """Text without the excluded elements; NULL when none is there."""
     # Only inside svg or math does "/>" close an element. Looked up once, not per token.
     foreign = F.exists(toks, lambda t: (t["kind"] == "open") & t["tag"].isin("svg", "math"))
-
-    def kept_text(ms: Column) -> Column:
-        def run_text(r: Column) -> Column:
-            texts = F.transform(
-                F.slice(toks, r["start"] + 1, r["stop"] - r["start"]), lambda t: t["text"]
-            )
-            return F.array_join(texts, "")
-
-        return F.when(
-            F.exists(ms, lambda m: m["excluded"]),
-            F.array_join(F.transform(_kept_runs(ms, F.size(toks)), run_text), ""),
-        )
-
-    return let(let(foreign, lambda f: _marks(toks, f)), kept_text)
+    start = F.struct(F.array().cast("array<struct<tag:string,n:int>>").alias("stack"), F.lit(0).alias("removed_at"))
+    return let(
+        let(foreign, lambda f: _roles(toks, f)),
+        lambda ts: F.when(F.exists(ts, lambda t: t["excluded"]), scan_strings(ts, start, _advance, _emitted)),
+    )
 
 
 def strip_elements(html: Column) -> Column:

@@ -10,7 +10,7 @@ from pagepress.functions.text import let, replace_many, trim
 MARK = "__next_f"
 
 # --- Fixed values: what counts as a payload, a heading and a body text --------
-_SCRIPT = r"(?i)<script[^>]*>([\s\S]*?)</script>"
+_SCRIPT, _SCRIPT_END = r"(?i)<script", r"(?i)</script>"
 _PUSH = r'self\.__next_f\.push\(\[1,"([^"\\]*+(?:\\.[^"\\]*+)*+)"\]\)'
 _HEADING = r'"as"\s*:\s*"(h[1-6])"[^}]*?"children"\s*:\s*"([^"]{%d,})"'
 _BODY = r'"children"\s*:\s*"([^"]{%d,})"'
@@ -24,7 +24,16 @@ def has_flight(html: Column) -> Column:
 
 def payloads(html: Column) -> Column:
     """All pushed payloads in order; NULL for pages without the mark."""
-    scripts = F.filter(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), has_flight)
+    # Text up to each close; a script's body begins behind the tag that opens first in it.
+    ended = let(F.split(html, _SCRIPT_END), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+
+    def body(part: Column) -> Column:
+        return let(
+            F.get(F.split(part, _SCRIPT, 2), F.lit(1)),
+            lambda rest: let(F.position(F.lit(">"), rest), lambda at: F.when(at > 0, F.substr(rest, at + 1))),
+        )
+
+    scripts = F.filter(F.transform(F.filter(ended, has_flight), body), lambda s: F.coalesce(has_flight(s), F.lit(False)))
     pushed = F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(_PUSH), F.lit(1)))
     return F.when(has_flight(html), F.flatten(pushed))
 

@@ -46,8 +46,12 @@ def column_of(fn: Callable[..., Column], *names: str) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """Evaluate ``value`` once per row and use it several times in ``body``.
+
+    A fold over nothing, whose result is ``value``: unlike a transform it makes no deep copy of it, which
+    would take time in proportion to all that a state holds.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 _WS_CHARS = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagepress import config
-from pagepress.functions.text import let
+from pagepress.functions.text import let, scan_strings
 
 # Characters that the URL Standard percent-encodes in each part.
 _CONTROL = r"\x00-\x1F\x7F-\x{10FFFF}"
@@ -48,20 +48,21 @@ def _resolve_dots(path: Column) -> Column:
         .otherwise(s),
     )
 
-    def fold(kept: Column, segment: Column) -> Column:
-        return (
-            F.when(segment == ".", kept)
-            .when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
-            .otherwise(F.concat(kept, F.array(segment)))
-        )
-
+    # From the right, so that the state is the number of segments still to be dropped. Text is put together
+    # backwards and turned round once.
     def join(segments: Column) -> Column:
-        kept = F.aggregate(segments, F.array().cast("array<string>"), fold)
-        ends_in_dot = F.element_at(segments, -1).isin(".", "..")
-        return F.concat(
-            F.lit("/"),
-            F.array_join(F.when(ends_in_dot, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"),
+        is_dot = lambda segment: segment.isin(".", "..")
+        kept = scan_strings(
+            F.reverse(segments),
+            F.lit(0),
+            lambda pending, segment: F.when(segment == ".", pending)
+            .when(segment == "..", pending + 1)
+            .otherwise(F.greatest(pending - 1, F.lit(0))),
+            lambda segment, pending, _: F.when(is_dot(segment) | (pending > 0), "").otherwise(
+                F.reverse(F.concat(F.lit("/"), segment))
+            ),
         )
+        return F.concat(F.reverse(kept), F.when(is_dot(F.element_at(segments, -1)), "/").otherwise(""))
 
     return F.when(path.rlike(_DOT_SEGMENT), let(dots, join)).otherwise(path)
 

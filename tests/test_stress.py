@@ -5,6 +5,9 @@ import time
 from pyspark.sql import functions as F
 
 from pagepress.functions.cleaners import remove_empty_links, strip_inline_links
+from pagepress.functions.elements import strip_elements
+from pagepress.functions.flight import flight_html
+from pagepress.functions.metadata import canonical, jsonld_text, language, page_title, title_tag
 from pagepress.functions.urls import resolve_url
 from pagepress.plans.documents import page_documents
 
@@ -98,3 +101,82 @@ def test_brackets_take_linear_time(spark):
 
     seconds(10)
     assert seconds(40_000) < 10
+
+
+def seconds_of(spark, fn, text):
+    df = spark.createDataFrame([(text,)], "h string").repartition(1)
+    df.limit(0).select(fn(F.col("h"))).collect()
+    start = time.time()
+    out = df.select(fn(F.col("h")).alias("o")).collect()[0].o
+    return time.time() - start, out
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    """Patterns that looked for a tag's end from each start took over a minute for 22,000 characters."""
+    base = F.lit("https://e.com/p")
+    n = 1_000_000
+    for fn, unit, before, after, wanted in (
+        (lambda h: canonical(h, base), '<link rel="canonical" ', "", "", None),
+        (lambda h: canonical(h, base), '<link rel="canonical" ', "", '><link rel="canonical" href="/c">', "https://e.com/c"),
+        (page_title, '<meta name="x" ', "", '><meta property="og:title" content="T > U">', "T > U"),
+        (title_tag, "<title ", "", ">T</title>", "T"),
+        (language, "<html ", "", 'lang="de">', "de"),
+        (jsonld_text, '<script type="application/ld+json" ', "", "", None),
+        (jsonld_text, '<script type="application/ld+json" ', "", ">{}</script>", "{}"),
+        (jsonld_text, '<script type="application/ld+json">', "", "", None),
+        (flight_html, "<script>", "__next_f", "", ""),
+        (flight_html, "<script ", "__next_f", "</script>", ""),
+    ):
+        took, got = seconds_of(spark, fn, before + unit * (n // len(unit)) + after)
+        assert got == wanted and took < 20, unit
+
+
+def test_element_removal_takes_linear_time(spark):
+    for unit, before, after, wanted in (
+        ("<b>", "<nav>x</nav>", "", None), ("<nav>x</nav>", "a", "b", "ab"), ("<div>", "<nav>x</nav>", "</div>", None),
+    ):
+        many = unit * (200_000 // len(unit))
+        took, got = seconds_of(spark, strip_elements, before + many + after)
+        assert got == (many + after if wanted is None else wanted) and took < 30, unit
+
+
+def test_dot_segments_take_linear_time(spark):
+    base = F.lit("https://e.com/p")
+    for path, wanted in (
+        ("/a" * 100_000 + "/..", "/a" * 99_999 + "/"), ("/x" + "/.." * 100_000 + "/b/./c/.", "/b/c/"), ("/a/b/%2e%2E/../c" * 20_000, "/c" * 20_000),
+    ):
+        took, got = seconds_of(spark, lambda h: resolve_url(h, base), path)
+        assert got == "https://e.com" + wanted and took < 30
+
+
+def test_nested_removal(apply):
+    got = apply(
+        strip_elements,
+        "<div>a<nav>b<div>c</div>d</nav>e</div>f",
+        "<div>a<nav>b</div>c",  # ended from outside
+        "<p>a<nav>b</p>c</nav>d",
+        "<nav>a</b>b<nav>c</nav>d</nav>e",
+        "<i><i><i>a<nav>b</i>c</i>d",
+        "a<nav>b",
+    )
+    assert got == ["<div>ae</div>f", "<div>a</div>c", "<p>a</p>c</nav>d", "e", "<i><i><i>a</i>c</i>d", "a"]
+
+
+def test_broken_heads(apply):
+    """Attributes in any order and case, values over ">", and runs of tags that are not closed."""
+    titles = {
+        '<meta content="a > b" property="og:title">': "a > b",
+        '<META PROPERTY=\'OG:TITLE\' CONTENT=\'a\'>': "a",
+        '<meta name="x"><meta name="og:title" <meta content="b">': "b",
+        '<meta property="og:title" content="a" content="b">': "b",
+        '<meta property="og:title" content=""><meta property="og:title" content="z"><title>T</title>': "T",
+        "<title <title a>b</title>": "b",
+        "<title>a<title>b</title>": "b",
+    }
+    assert apply(page_title, *titles) == list(titles.values())
+    links = {
+        '<link rel="canonical" href="/a"><link rel="canonical" href="/b">': "https://e.com/a",
+        '<link href="/a" rel="canonical"><link rel="canonical" title="x" href="/b">': "https://e.com/b",
+        '<link rel="icon" href="/a" rel="canonical" href="/c" href="/d">': "https://e.com/d",
+    }
+    assert apply(lambda h: canonical(h, F.lit("https://e.com/p")), *links) == list(links.values())
