@@ -18,7 +18,8 @@ Steps, each over all lines:
 4. All other lines. A line of n tokens has a prefix of n - ceil(0.8 n) + 1 rarest tokens. Two similar
    lines share one; at their first shared token the positions bound the overlap (positional filter,
    which holds the length filter), and 64-bit parity maps of the sets bound the difference from below.
-5. Candidates are verified by the Jaccard similarity of the tokens themselves.
+5. Candidates are verified by the Jaccard similarity of the tokens themselves: of step 4 one for each line
+   first, the others only where that one fails.
 
 Decisions are line numbers, kept as bits for each document. They are joined to the documents, as a
 broadcast if counted to be small, else by a shuffle.
@@ -192,8 +193,21 @@ def _prefix_candidates(sets: DataFrame) -> DataFrame:
     return met.select(F.col("y_h").alias("later"), F.col("x_h").alias("earlier"))
 
 
+def _verified_in_turn(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """As :func:`_verified`, with one candidate of each line first and all others only for lines that it leaves open.
+
+    In a group of near copies the first candidate nearly always matches, so texts are not brought together for
+    the pairs of a group, only for its lines.
+    """
+    pairs = cut(pairs.distinct())
+    tried = pairs.groupBy("later").agg(F.min("earlier").alias("earlier"))
+    matched = cut(_verified(tried, docs))
+    open_pairs = pairs.join(matched.select(F.col("later").alias("_done")).distinct(), F.col("later") == F.col("_done"), "left_anti")
+    return matched.unionByName(_verified(open_pairs, docs))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Places of the lines that an earlier line matches, by the tokens themselves."""
+    """Hashes (``later``) and places of the lines that an earlier line matches, by the tokens themselves."""
     pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("later").alias("_h")).unionByName(pairs.select(F.col("earlier").alias("_h"))).distinct()
     side = _small(cut(wanted), 32, F.lit(0))
@@ -207,7 +221,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(y, "later").join(x, "earlier").filter("x_place < y_place")
     tx, ty = _tokens(F.col("x_line")), _tokens(F.col("y_line"))
     good = 9 * F.size(F.array_intersect(tx, ty)) >= 4 * (F.size(tx) + F.size(ty))
-    return both.filter(good).select("y_place.*").distinct()
+    return both.filter(good).select("later", "y_place.*").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -219,8 +233,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     settled = _by_document(_verified(_hub_candidates(_lines(distinct)), distinct))
     flagged = _attach(distinct, settled, "settled_bits")
     rows = _lines(flagged, "gone", "settled_bits").withColumn("settled", _marked("settled_bits", F.col("line_no")))
-    found = _verified(_prefix_candidates(_with_sets(rows.drop("settled_bits"), rank)), distinct)
-    every = _places(repeats).unionByName(_places(settled)).unionByName(found)
+    found = _verified_in_turn(_prefix_candidates(_with_sets(rows.drop("settled_bits"), rank)), distinct)
+    every = _places(repeats).unionByName(_places(settled)).unionByName(found.drop("later"))
     return _by_document(every)
 
 
