@@ -53,7 +53,7 @@ def _page_column(out: str, fn: Callable[[Column], Column]) -> Query:
 
 
 def _head(c: str = "html") -> Column:
-    return metadata.head_slice(F.col(c), config.HEAD_FALLBACK_CHARS)
+    return metadata.head_slice(F.col(c))
 
 
 def _flight_document(html: Column) -> Column:
@@ -426,7 +426,7 @@ def empty_body(spark, sf):
 
 
 def page_documents(spark, sf):
-    return plans.page_documents(_pages(spark, sf), **FALLBACK).select(
+    return plans.page_documents(_pages(spark, sf)).select(
         "page_id", "url_key", "title", "description", F.col("metadata.language").alias("language"), "markdown", "document"
     )
 
@@ -439,7 +439,7 @@ def crawl_documents(spark, sf):
         "url": F.when(F.col("page_id") % 11 != 0, F.col("url")),
         "html": F.when(F.col("page_id") % 3 != 0, F.col("html")),
     })
-    return crawl_jobs.crawl_documents(crawl, **FALLBACK).select("page_id", "url_key", "document", "error")
+    return crawl_jobs.crawl_documents(crawl).select("page_id", "url_key", "document", "error")
 
 
 def _snapshots(spark, sf):
@@ -477,7 +477,7 @@ def snapshot_upsert(spark, sf):
 
 def incremental_documents(spark, sf):
     todo = snapshots.stale_pages(_keyed(spark, sf), _snapshots(spark, sf), NOW)
-    done = plans.format_rows(plans.extract(todo.select("page_id", "url_key", "html"), **FALLBACK)).select(
+    done = plans.format_rows(plans.extract(todo.select("page_id", "url_key", "html"))).select(
         "url_key", "document", F.lit(NOW).cast("long").alias("created_at")
     )
     return snapshots.upsert(_snapshots(spark, sf), done)

@@ -70,14 +70,14 @@ def extract(
     max_html_chars: int | None = None,
     max_words: int | None = None,
     max_alt_text: int | None = None,
-    min_words: int | None = config.MIN_WORDS,
+    min_words: int | None = None,
     min_heading: int = 1,
     min_body: int = 1,
 ) -> DataFrame:
     """Add ``title, description, metadata, markdown, page_markdown`` to pages with a normalized URL.
 
     Pages, texts and alt texts are kept whole unless a limit is given. ``markdown`` is the flight
-    text of a page of fewer than ``min_words`` words that has any (None: never); ``page_markdown``
+    text of a page of fewer than ``min_words`` words that has any (by default never); ``page_markdown``
     is the text of the page itself in any case.
     """
     df = with_metadata(df, html, url)

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from pagepress import config
 from pagepress.functions.cleaners import remove_empty_links, strip_inline_links
 from pagepress.functions.elements import strip_elements
 from pagepress.functions.flight import flight_html
@@ -39,7 +40,7 @@ def test_long_broken_pages(spark):
     rows.append((len(rows), "e.com", PUSH.format('{\\"children\\":\\"' + "w " * 4 * n + '\\"}' * 1)))
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
     start = time.time()
-    got = {r.page_id: r.markdown for r in page_documents(df).collect()}
+    got = {r.page_id: r.markdown for r in page_documents(df, min_words=config.MIN_WORDS).collect()}
     assert len(got) == len(rows)
     assert time.time() - start < 120
     assert got[1] == "t" and got[3] == "end" and got[4] == "deep" and got[7] == "b"
