@@ -134,7 +134,7 @@ def test_whole_page(spark):
         [(1, "http://E.com/p/?utm_source=q", html), (2, "e.com", flight), (3, "f.com", "<main></main>")],
         "page_id long, url string, html string",
     ).repartition(2)
-    rows = {r.page_id: r for r in page_documents(df).collect()}
+    rows = {r.page_id: r for r in page_documents(df, min_words=50).collect()}
     assert rows[1].document == (
         "Title: T\nDescription: D\nURL Source: https://e.com/p/\nLanguage: en\nWord Count: 9\n\n---\n\n"
         "# Head\nSee this now.\n```sh\nnpm i\n```"
