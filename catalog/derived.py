@@ -113,6 +113,25 @@ select c_custkey k, concat('<h2>', c_name, ' &amp; co</h2><p>a <b> bold </b> and
   '<p><b>unclosed</p><img ', {_attr('alt', "'pic'")}, ' ', {_attr('src', "'i.png'")}, '><table><tr><th>h</th><th>k</th></tr><tr><td>',
   c_mktsegment, '</td><td>2</td></tr></table><hr><blockquote><p>q1</p><p>q2</p></blockquote>&copy; &#233;&#x263A; &lt;x&gt;') html
 from {{customer}}""",
+    "d_raw": f"""
+select c_custkey k, concat('<title>a <nav> ', c_name, '</title>', case c_custkey % 4
+  when 0 then concat('<textarea rows=2><nav>', c_mktsegment, '</nav> sample</TEXTAREA ><nav>menu</nav>')
+  when 1 then concat('<textarea ', {_attr('class', "'ad'")}, '><p>', c_mktsegment, '</p></textarea><p>p</p>')
+  when 2 then concat('<svg><title/><path/><g>x</g></svg><xmp><div hidden>', c_mktsegment, '</xmp>')
+  else concat('<svg/><noembed><aside>', c_mktsegment, '</noembed><math><mi>m</mi></math>') end,
+  '<p>tail</p>') html
+from {{customer}}""",
+    "d_host": """
+select c_custkey k, case c_custkey % 7
+  when 0 then concat('http://', cast(3232235520 + c_custkey % 1000000 as string), '/')
+  when 1 then concat('http://0x', lower(hex(3232235520 + c_custkey % 1000000)), ':80')
+  when 2 then concat('http://10.', cast(c_custkey % 16777216 as string), '/x')
+  when 3 then concat('https://%45x%2Eexample.COM/', cast(c_custkey as string))
+  when 4 then concat('https://ＥＸ。example.com/', cast(c_custkey as string))
+  when 5 then concat('http://1.2.3.', cast(256 + c_custkey as string), '/')
+  else concat('http://', substr('abcdefgh', 1, cast(c_custkey % 8 as int)),
+    substr('ÀÉÖßñабвгдЖзий書日本語例ł', cast(1 + c_custkey % 20 as int), 1), 'x.Example/') end url
+from {customer}""",
     "d_space": """
 select c_custkey k, concat('\u00a0 ', chr(9), c_name, '\u2003', c_mktsegment, chr(10), '\u3000\ufeff') s
 from {customer}""",

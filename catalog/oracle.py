@@ -80,10 +80,42 @@ def normalized(url: str) -> str:
     )
 
 
+# Numbers as addresses by arithmetic. An international label here has one character that is not ASCII, behind
+# k % 8 letters; its punycode is the number (code point - 128) * (letters + 1) + place in at most four digits.
+_HOSTS = r"""
+with parts as (
+  select c_custkey k, c_custkey % 7 as form, c_custkey % 8 as place,
+    unicode(lower(substr('ÀÉÖßñабвгдЖзий書日本語例ł', cast(1 + c_custkey % 20 as int), 1))) as point,
+    case c_custkey % 7 when 2 then 10 * 16777216 + c_custkey % 16777216 else 3232235520 + c_custkey % 1000000 end as address
+  from customer
+),
+digits as (
+  select *, (point - 128) * (place + 2) + place as q0, (q0 - 1) // 35 as q1, (q1 - 1) // 35 as q2, (q2 - 26) // 10 as q3,
+    'abcdefghijklmnopqrstuvwxyz0123456789' as a from parts
+),
+hosts as (
+  select k, form, case
+    when form in (0, 1, 2) then concat_ws('.', address // 16777216, address // 65536 % 256, address // 256 % 256, address % 256)
+    when form in (3, 4) then 'ex.example.com'
+    when form = 6 then concat('xn--', substr('abcdefgh', 1, place), 'x-', substr(a, 2 + (q0 - 1) % 35, 1),
+      case when q1 < 1 then 'a' else substr(a, 2 + (q1 - 1) % 35, 1) ||
+        case when q2 < 26 then substr(a, q2 + 1, 1) else substr(a, 27 + (q2 - 26) % 10, 1) || substr(a, q3 + 1, 1) end end,
+      '.example') end as host
+  from digits
+)
+select k, host, case when form = 5 then 'http://1.2.3.' || (256 + k) || '/' else 'https://' || host ||
+  case form when 2 then '/x' when 3 then '/' || k when 4 then '/' || k else '/' end end as url_key
+from hosts
+"""
+
 # --- tokens ----------------------------------------------------------------------
 
+_RAW = "script style iframe textarea title xmp noembed noframes noscript".split()
+# A title that closes itself stands in svg only, in these inputs.
 _TOKEN = (
-    r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[!?][^>]*>|</?[a-z][^>]*>|[^<]+|<"
+    r"(?is)<!--.*?-->|<title/>|"
+    + "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in _RAW)
+    + r"|<[!?][^>]*>|</?[a-z][^>]*>|[^<]+|<"
 )
 _TAG = r"(?i)^</?([a-z][^\s/>]*)"
 
@@ -92,7 +124,7 @@ def token_rows(source: str, key: str) -> str:
     """``key, pos, kind, tag, text`` rows; 0-based positions."""
     return (
         f"select {key}, pos - 1 as pos, text, case when text like '<!%' then 'comment' "
-        f"when regexp_matches(text, '(?i)^<(script|style)') then 'raw' when regexp_matches(text, '(?i)^</[a-z]') then 'close' "
+        f"when regexp_matches(text, '(?is)^<({'|'.join(_RAW)})[\\s>].') then 'raw' when regexp_matches(text, '(?i)^</[a-z]') then 'close' "
         f"when regexp_matches(text, '(?i)^<[a-z]') then 'open' else 'text' end as kind, "
         f"nullif(lower(regexp_extract(text, {q(_TAG)}, 1)), '') as tag "
         f"from (select {key}, unnest(regexp_extract_all(html, {q(_TOKEN)})) as text, "
@@ -122,12 +154,13 @@ def stripped(source: str, key: str) -> list[tuple[str, str]]:
         ("tok", token_rows(source, key)),
         (
             "leveled",
-            f"select *, sum(case kind when 'open' then 1 when 'close' then -1 else 0 end) "
+            f"select *, sum(case when kind = 'open' and not ends_with(text, '/>') then 1 when kind = 'close' then -1 else 0 end) "
             f"over (partition by {key}, tag order by pos) as lvl from tok where tag is not null",
         ),
         (
             "starts",
-            f"select {key}, pos, kind, tag, lvl from leveled where kind in ('open', 'raw') and {_excluded()}",
+            f"select {key}, pos, case when ends_with(text, '/>') then 'raw' else kind end as kind, tag, lvl from leveled where kind in ('open', 'raw') and "
+            + _excluded("regexp_extract(text, '^<[^>]*>')"),
         ),
         (
             "ranges",
@@ -628,6 +661,7 @@ def build() -> dict[str, str]:
         "nullif(regexp_extract(url, '(#.*)$', 1), '') as fragment from pages",
         "normalize_url": f"select page_id, {normalized('url')} as url_key from pages",
         "url_ports": f"select k, regexp_extract({normalized('url')}, '^https://([^/?]*)', 1) as authority from {duck('d_url')}",
+        "url_hosts": _HOSTS,
         "url_tracking": "select page_id, len(regexp_extract_all(url, '[?&](?:"
         + "|".join(config.TRACKING_PARAMS)
         + f")(?:=|&|#|$)'))::bigint as dropped, contains({normalized('url')}, '?')::int as query_left from pages",
@@ -694,6 +728,10 @@ def build() -> dict[str, str]:
             "select page_id, pos::bigint as pos, kind, tag, case when kind in ('open', 'raw') then array_to_string(list_transform("
             "regexp_extract_all(regexp_extract(text, '^<[^>]*>'), '\\s([a-z]+=\"[^\"]*\")', 1), lambda a: replace(a, '\"', '')), '|') else '' end as attrs, text from tok",
         ),
+        "raw_tokens": with_steps(
+            [("src", f"select * from {duck('d_raw')}"), ("tok", token_rows("src", "k"))],
+            "select k, pos::bigint as pos, kind, tag, text from tok",
+        ),
         "exclude_rules": with_steps(
             [
                 ("rules", "select * from (values " + ", ".join(
@@ -728,6 +766,9 @@ def build() -> dict[str, str]:
         ),
         "strip_elements": with_steps(stripped("pages", "page_id"), "select page_id, html from stripped"),
         "strip_derived": with_steps(html_src + stripped("src", "k"), "select k, html from stripped"),
+        "strip_raw": with_steps(
+            [("src", f"select * from {duck('d_raw')}"), *stripped("src", "k")], "select k, html from stripped"
+        ),
         "render_markdown": f"select page_id, {rendered('html')} as markdown from pages",
         "render_blocks": "select c_custkey as k, "
         + "replace(replace(" + q(

@@ -87,6 +87,15 @@ def url_parts(spark, sf):
     )
 
 
+def url_hosts(spark, sf):
+    """Hosts in numeric, percent-encoded, full-width and international spellings; one key for one page."""
+    return (
+        derived(spark, sf, "d_host")
+        .select("k", normalize_url(F.col("url")).alias("url_key"), split_url(F.col("url")).alias("p"))
+        .select("k", "url_key", "p.host")
+    )
+
+
 def url_tracking(spark, sf):
     """Tracking parameters found and dropped, per page."""
     names = F.transform(
@@ -227,6 +236,13 @@ def html_tokens(spark, sf):
     )
 
 
+def raw_tokens(spark, sf):
+    """Tokens around elements whose body holds no tags."""
+    return elements.token_table(derived(spark, sf, "d_raw"), "html", "k").select(
+        "k", F.col("pos").cast("long").alias("pos"), "kind", "tag", "text"
+    )
+
+
 def exclude_rules(spark, sf):
     """How often each rule of the exclusion table hits over all pages and derived pages.
 
@@ -524,6 +540,7 @@ QUERIES: dict[str, Query] = {
     "error_rows": error_rows,
     "url_scheme": _column("url", "url", with_scheme, "d_url"),
     "url_parts": url_parts,
+    "url_hosts": url_hosts,
     "normalize_url": lambda spark, sf: _keyed(spark, sf).select("page_id", "url_key"),
     "url_ports": url_ports,
     "url_tracking": url_tracking,
@@ -550,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "html_cap": _page_column("content", lambda h: content.cap_html(h, HTML_CAP)),
     "main_content": main_content,
     "html_tokens": html_tokens,
+    "raw_tokens": raw_tokens,
     "exclude_rules": exclude_rules,
     "match_tag": match_tag,
     "match_class": match_class,
@@ -557,6 +575,7 @@ QUERIES: dict[str, Query] = {
     "match_attr": match_attr,
     "strip_elements": _page_column("html", elements.strip_elements),
     "strip_derived": _column("html", "html", elements.strip_elements, "d_html"),
+    "strip_raw": _column("html", "html", elements.strip_elements, "d_raw"),
     "render_markdown": render_markdown,
     "render_blocks": render_blocks,
     "render_code": render_code,

@@ -15,17 +15,32 @@ from pagepress.functions.urls import resolve_url
 # Attributes inside a tag: quoted values may hold ">". A quote opens a value only right after "=";
 # elsewhere it is an ordinary character. Possessive, so that long tags neither backtrack nor recurse.
 _ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_TOKEN = (
-    r"[^<]++"
-    r"|<(?:"
-    r"(?s:!--.*?(?:-->|\z))"
-    r"|[!?][^>]*+>?"
-    rf"|(?i:(script|style|iframe)\b{_ATTRS}>[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1[^>]*+>|\z))"
-    rf"|/?[a-zA-Z]{_ATTRS}>"
-    r"|/?[a-zA-Z][^>]*+>"
-    r")"
-    r"|<"
-)
+# Elements whose body holds no tags.
+RAW_TAGS = ["script", "style", "iframe", "textarea", "title", "xmp", "noembed", "noframes", "noscript"]
+_RAW = "|".join(RAW_TAGS)
+
+
+def _token_pattern(raw: str, foreign: str = "(?!)") -> str:
+    """Text, comments and tags; an element with one of these names is one token up to its close."""
+    return (
+        r"[^<]++"
+        r"|<(?:"
+        r"(?s:!--.*?(?:-->|\z))"
+        r"|[!?][^>]*+>?"
+        rf"|(?i:({raw})(?=[\s/>]){_ATTRS}>[^<]*+(?:<(?!/\1[\s/>])[^<]*+)*+(?:</\1[^>]*+>|\z))"
+        rf"|(?i:({foreign})(?=[\s/>]){_ATTRS}(?<!/)>[^<]*+(?:<(?!/\2[\s/>])[^<]*+)*+(?:</\2[^>]*+>|\z))"
+        rf"|/?[a-zA-Z]{_ATTRS}>"
+        r"|/?[a-zA-Z][^>]*+>"
+        r")"
+        r"|<"
+    )
+
+
+_TOKEN = _token_pattern(_RAW)
+# Inside svg and math no body is raw, and "/>" closes. Such a part is taken whole first, then for itself.
+_FOREIGN = r"<(?i:svg|math)(?=[\s/>])"
+_TOKEN_OR_FOREIGN = _token_pattern(_RAW, "svg|math")
+_FOREIGN_TOKEN = _token_pattern("(?!)")
 _ATTR = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
 
 # Elements without content in HTML.
@@ -60,8 +75,8 @@ def _attributes(tag_text: Column) -> Column:
 def tokens(html: Column) -> Column:
     """``array<struct<kind, tag, attrs, text>>``; the texts joined give back the input.
 
-    Kinds: ``text``, ``open``, ``close``, ``raw`` (a script, style or iframe with its body),
-    ``comment`` (also doctype).
+    Kinds: ``text``, ``open``, ``close``, ``raw`` (an element of ``RAW_TAGS`` with its body),
+    ``comment`` (also doctype). A foreign part (svg, math) ends at the first close tag of its name.
     """
 
     def token(t: Column) -> Column:
@@ -70,7 +85,7 @@ def tokens(html: Column) -> Column:
             F.when(~F.startswith(t, F.lit("<")), "text")
             .when(second == "/", F.when(t.rlike(r"\A</[a-zA-Z]"), "close").otherwise("text"))
             .when(second.isin("!", "?"), "comment")
-            .when(t.rlike(r"(?i)\A<(?:script|style|iframe)\b"), "raw")
+            .when(t.rlike(rf"(?i)\A<(?:{_RAW})(?=[\s/>]){_ATTRS}>[\s\S]"), "raw")
             .when(t.rlike(r"\A<[a-zA-Z]"), "open")
             .otherwise("text")
         )
@@ -84,7 +99,16 @@ def tokens(html: Column) -> Column:
         )
         return F.struct(kind.alias("kind"), tag.alias("tag"), attrs.alias("attrs"), t.alias("text"))
 
-    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), token)
+    def parts(pattern: str, text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    inside = F.flatten(
+        F.transform(
+            parts(_TOKEN_OR_FOREIGN, html),
+            lambda t: F.when(t.rlike(r"\A" + _FOREIGN), parts(_FOREIGN_TOKEN, t)).otherwise(F.array(t)),
+        )
+    )
+    return F.transform(F.when(html.rlike(_FOREIGN), inside).otherwise(parts(_TOKEN, html)), token)
 
 
 def token_table(df: DataFrame, html: str = "content", key: str = "page_id") -> DataFrame:

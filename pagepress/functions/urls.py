@@ -1,7 +1,8 @@
 """URL normalization and resolution as Column expressions.
 
 Covered: special-scheme parsing, host case, default ports, dot segments, percent-encoding,
-form re-serialization of the query. Not covered: internationalized and numeric host names.
+host names in all their spellings (see :mod:`pagepress.functions.hosts`), form re-serialization of the
+query.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagepress import config
+from pagepress.functions.hosts import canonical_host
 from pagepress.functions.text import let, scan_strings
 
 # Characters that the URL Standard percent-encodes in each part.
@@ -16,7 +18,6 @@ _CONTROL = r"\x00-\x1F\x7F-\x{10FFFF}"
 _PATH_SET = _CONTROL + r' "#<>?^`{}'
 _QUERY_SET = _CONTROL + r""" "#<>'"""
 _FRAGMENT_SET = _CONTROL + r' "<>`'
-_FORBIDDEN_HOST = r"[\x00-\x20#/<>?@\[\\\]^|%\x7F]"
 
 _SPECIAL = r"(?is)\A(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 _OTHER = r"(?s)\A([a-zA-Z][a-zA-Z0-9+.\-]*):([^?#]*)(\?[^#]*)?(#.*)?\z"
@@ -95,7 +96,7 @@ def split_url(c: Column) -> Column:
                     F.struct(
                         F.lower(part(1)).alias("scheme"),
                         a["auth"].alias("auth"),
-                        F.lower(F.regexp_extract(a["hp"], r"\A(\[[^\]]*\]|[^:]*)", 1)).alias("host"),
+                        canonical_host(F.regexp_extract(a["hp"], r"\A(\[[^\]]*\]|[^:]*)", 1)).alias("host"),
                         F.regexp_replace(
                             F.regexp_extract(a["hp"], r":([^:\]]*)\z", 1), r"\A0+(?=\d)", ""
                         ).alias("port"),
@@ -103,7 +104,7 @@ def split_url(c: Column) -> Column:
                     ),
                     lambda h: F.when(
                         h["ok"]
-                        & (F.startswith(h["host"], F.lit("[")) | ~h["host"].rlike(_FORBIDDEN_HOST))
+                        & h["host"].isNotNull()
                         & F.when(h["port"] == "", True)
                         .when(F.length(h["port"]) <= 5, h["port"].cast("int") <= 65535)
                         .otherwise(False),

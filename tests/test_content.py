@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pagepress.functions import content as c
@@ -88,6 +90,32 @@ def test_strip(apply):
     assert apply(e.strip_elements, *cases) == list(cases.values())
 
 
+def test_bodies_without_tags(apply):
+    cases = {
+        "<textarea><nav>code sample</nav></textarea><title>a <nav> b</title>": None,
+        "<xmp><div hidden></xmp><nav>z</nav>k": "<xmp><div hidden></xmp>k",
+        "<noembed><aside></noembed><NOFRAMES><aside></NoFrames >k": None,
+        "<textarea class=ad><p></textarea>k": "k",
+        "<titles><nav>z</nav></titles>": "<titles></titles>",
+        "<title><nav>": None,
+        "<svg><title/><nav>z</nav></svg>a<nav>z</nav>k": "ak",
+        "<svg/><textarea><nav></textarea>k": "<textarea><nav></textarea>k",
+        "<math><title/><mi>x</mi></math><p>k</p><nav>z</nav>": "<math><title/><mi>x</mi></math><p>k</p>",
+        "<script>'<svg>'</script><textarea><nav></textarea>": "<textarea><nav></textarea>",
+        "<math><title/>a<nav>z": "<math><title/>a",
+    }
+    assert apply(e.strip_elements, *cases) == [html if kept is None else kept for html, kept in cases.items()]
+
+
+def test_no_text_outside_excluded_elements_is_lost(apply):
+    draw = random.Random(3)
+    names = [*e.RAW_TAGS, "svg", "math", "p", "b", "i"]
+    marks = [f"<{n}>" for n in names] + [f"</{n}>" for n in names] + [f"<{n}/>" for n in names] + ["<", "</", "<!--", "-->", "x y", "'", '"']
+    pages = ["".join(draw.choices(marks, k=30)) for _ in range(150)]
+    joined = lambda h: F.array_join(F.transform(e.tokens(h), lambda t: t["text"]), "")
+    assert apply(joined, *pages) == pages
+
+
 def test_links(apply):
     base = "https://e.com/a/"
     cases = {

@@ -1,3 +1,6 @@
+import random
+
+from pagepress.functions.hosts import MAX_LABEL, canonical_host, punycode
 from pagepress.functions.urls import normalize_url, resolve_url
 
 
@@ -54,3 +57,58 @@ def test_resolve(apply):
         "http://a b/": None,
     }
     assert apply(resolve_url, *[(c, base) for c in cases]) == list(cases.values())
+
+
+def test_punycode_equals_the_codec(apply):
+    draw = random.Random(5)
+    signs = "abcxyz-019" + "äéßñłжЯש書日本語例ก\u0301😀𝒳"
+    labels = ["".join(draw.choices(signs, k=draw.choice((1, 2, 3, 8, 20, 63)))) for _ in range(200)]
+    labels += ["bücher", "ü", "üü", "aüaü", "書" * 60, "a" * 50 + "ü" * 13, "\U0010ffff", "\x80"]
+    labels = [l for l in labels if not l.isascii()]
+    assert apply(punycode, *labels) == [l.encode("punycode").decode() for l in labels]
+
+
+def test_hosts(apply):
+    cases = {
+        "Bücher.Example": "xn--bcher-kva.example",
+        "b%C3%BCcher.example": "xn--bcher-kva.example",
+        "ｅｘ．Ａ。b｡c": "ex.a.b.c",
+        "a\u00adb.com": "ab.com",
+        "\u200b": None,
+        "%41b.com": "ab.com",
+        "a%2fb.com": None,
+        "a%zz.com": None,
+        "a%ff.com": None,
+        "a+b.com": "a+b.com",
+        "[::1]": "[::1]",
+        "127.1": "127.0.0.1",
+        "0x7f.1": "127.0.0.1",
+        "017700000001": "127.0.0.1",
+        "2130706433": "127.0.0.1",
+        "1.2.3.4.": "1.2.3.4",
+        "１.2.3.4": "1.2.3.4",
+        "0x": "0.0.0.0",
+        "4294967296": None,
+        "1.2.3.256": None,
+        "1.256.3.4": None,
+        "1.2.3.4.5": None,
+        "1..2": None,
+        "09": None,
+        "a.9": None,
+        "0x100000000": None,
+        "9" * 400: None,
+        "a.0xg": "a.0xg",
+        "1.a": "1.a",
+        "ü" * (MAX_LABEL + 1): None,
+        "..": "..",
+    }
+    assert apply(canonical_host, *cases) == list(cases.values())
+
+
+def test_spellings_of_one_page_have_one_key(apply):
+    groups = [
+        ["http://BÜCHER.de/x/", "https://b%c3%bccher.DE/x", "https://xn--bcher-kva.de/x#f", "ｂücher。de/x"],
+        ["http://127.0.0.1/", "http://0x7f000001", "http://2130706433:80/", "http://127.1"],
+    ]
+    for urls in groups:
+        assert len(set(apply(normalize_url, *urls))) == 1
