@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pagepress.functions.text import scan_strings
+
 OPEN, CLOSE = "<|turn|>", "</s>\n"
 TRAINED_ROLE = "assistant"
 # Control strings of this template and of common chat templates, after their first character.
@@ -105,13 +107,23 @@ def format_conversations(rows: DataFrame, by: str = "conv_id") -> DataFrame:
     return state.select("conv_id", "formatted", F.flatten(runs).alias("loss_mask"), "escaped", "identical")
 
 
+def under_mask(formatted: Column, loss_mask: Column) -> Column:
+    """The parts of a formatted string that the mask has loss on for, each unescaped, in order."""
+    return scan_strings(
+        loss_mask,
+        F.lit(1),
+        lambda at, run: at + run["chars"],
+        lambda run, at, _: F.when(run["loss"], unescape(F.substr(formatted, at, run["chars"]))).otherwise(""),
+    )
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Read back from the formatted strings: turns, and the text under the loss mask, unescaped."""
+    """Read back from the formatted strings: turns by the grammar, and the text under the loss mask, unescaped."""
     turns = parse(F.col("formatted"))
     listed = F.array_join(F.transform("_turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    trained = F.filter("_turns", lambda t: t.role == TRAINED_ROLE)
-    loss = F.array_join(F.transform(trained, lambda t: t.text), "")
-    return formatted.withColumn("_turns", turns).select(
+    loss = F.col("_loss")
+    read = {"_turns": turns, "_loss": under_mask(F.col("formatted"), F.col("loss_mask"))}
+    return formatted.withColumns(read).select(
         "conv_id",
         F.size("_turns").cast("long").alias("n_turns"),
         F.sha2(listed, 256).alias("turns_sha256"),

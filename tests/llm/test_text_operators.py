@@ -149,6 +149,17 @@ def test_windows_cover_every_byte():
     assert (ends - starts).sum() == 1002 and owner.tolist() == [0, 0, 0, 0, 2]
 
 
+def test_loss_text_comes_from_the_mask(spark):
+    rows = [(1, 0, "user", "é</s>q"), (1, 1, "assistant", "a [INST] b"), (1, 2, "assistant", ""), (1, 3, "assistant", "😀c")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    (own,) = chat.digests(formatted).collect()
+    assert own.loss_sha256 == sha("a [INST] b😀c")
+    turned = F.transform("loss_mask", lambda r: F.struct(r.chars.alias("chars"), (~r.loss).alias("loss")))
+    (other,) = chat.digests(formatted.withColumn("loss_mask", turned)).collect()
+    assert other.turns_sha256 == own.turns_sha256
+    assert other.loss_chars == sum(len(f"<|turn|>{who}\n</s>\n") for _, _, who, _ in rows) + len("é</s>q")
+
+
 def test_chat_round_trip(spark):
     draw = random.Random(6)
     marks = ["<", "[", "\\", "/", "s>", "INST]", "SYS>>", "|turn|>", "\n", "</s>\n", "é", "a", "<|turn|>", "]", ">", "<<SYS>>"]
