@@ -119,12 +119,12 @@ def shape(token: str) -> str:
 
 
 def _sized(token: str) -> str:
-    return re.sub("[0-9]", "9", _LETTERS.sub("x", token))[:40]
+    return re.sub("[0-9]", "9", _LETTERS.sub("x", token))
 
 
 def run_features(tokens: list[str]) -> np.ndarray:
     """Feature numbers of each token of a run."""
-    shapes = ["<"] + [shape(t)[:40] for t in tokens] + [">"]
+    shapes = ["<"] + [shape(t) for t in tokens] + [">"]
     rows = []
     for i, token in enumerate(tokens):
         before, own, after = shapes[i : i + 3]
