@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,8 +24,13 @@ def text_bytes(name: str = "text") -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the session's own, else one for this machine's tests."""
+    """Make sure that checkpoint() has a folder: the session's own, else one of this machine's in local mode.
+
+    On a cluster executors could not read the latter, so there the session has to name one.
+    """
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
