@@ -766,6 +766,9 @@ def build() -> dict[str, str]:
         ),
         "strip_elements": with_steps(stripped("pages", "page_id"), "select page_id, html from stripped"),
         "strip_derived": with_steps(html_src + stripped("src", "k"), "select k, html from stripped"),
+        "strip_custom": "select k, "
+        + rx("html", r'<nav [^>]*>n</nav>|<i role="note">r</i>|<code class="x language-sql">[^<]*</code>|<h2 id="references">T</h2>')
+        + f" as html from {duck('d_html')}",
         "strip_raw": with_steps(
             [("src", f"select * from {duck('d_raw')}"), *stripped("src", "k")], "select k, html from stripped"
         ),

@@ -60,6 +60,10 @@ def _flight_document(html: Column) -> Column:
     return flight.flight_html(html, config.FLIGHT_MIN_HEADING, config.FLIGHT_MIN_BODY)
 
 
+# Selectors other than the built-in ones, two of them of several conditions.
+OWN_SELECTORS = ("nav", "h2#references", "code.language-sql", "[role=note]", "p.language-sql")
+
+
 def page_scan(spark, sf):
     return scan_pages(spark, f"{sf}/pages.parquet").select(
         "page_id", "url", F.length("html").cast("long").alias("html_chars")
@@ -575,6 +579,7 @@ QUERIES: dict[str, Query] = {
     "match_attr": match_attr,
     "strip_elements": _page_column("html", elements.strip_elements),
     "strip_derived": _column("html", "html", elements.strip_elements, "d_html"),
+    "strip_custom": _column("html", "html", elements.stripper(OWN_SELECTORS), "d_html"),
     "strip_raw": _column("html", "html", elements.strip_elements, "d_raw"),
     "render_markdown": render_markdown,
     "render_blocks": render_blocks,

@@ -1,5 +1,9 @@
 """Word lists, selectors and limits the results depend on."""
 
+from __future__ import annotations
+
+import re
+
 # --- Fixed values: numeric limits -------------------------------------------
 MAX_HTML_CHARS = 256000
 MAX_WORDS = 10000
@@ -104,19 +108,30 @@ CODE_LANGUAGES = (
 UNESCAPED_PUNCTUATION = ".,:;!?'\"()[]{}|\\*_~`#>+-"
 
 
-def exclude_rules() -> list[tuple[str, str, str | None]]:
-    """The selectors above as distinct ``(kind, name, value)`` rows."""
-    rules: list[tuple[str, str, str | None]] = []
-    for selector in (s for group in EXCLUDE_SELECTORS.values() for s in group):
-        if selector[0] == ".":
-            rule = ("class", selector[1:], None)
-        elif selector[0] == "#":
-            rule = ("id", selector[1:], None)
-        elif selector[0] == "[":
-            name, _, value = selector[1:-1].partition("=")
-            rule = ("attr", name, value.strip('"') or None)
+Condition = tuple[str, str, str | None]  # kind (tag, class, id, attr), name, value
+_SIMPLE = re.compile(r"""([.#]?)([A-Za-z0-9_-]+)|\[\s*([^\s=\]~|^$*]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\]\s]*)\s*)?\]""")
+
+
+def selector(text: str) -> tuple[Condition, ...]:
+    """The conditions of a selector without combinators, such as ``nav``, ``.ad`` or ``div#x[role=note]``."""
+    conditions: list[Condition] = []
+    at = 0
+    for found in _SIMPLE.finditer(text):
+        mark, name, attr, value = found.groups()
+        if found.start() != at or (name and not mark and at):
+            break
+        at = found.end()
+        if attr:
+            conditions.append(("attr", attr.lower(), value.strip("\"'") if value else None))
+        elif mark:
+            conditions.append(("class" if mark == "." else "id", name, None))
         else:
-            rule = ("tag", selector, None)
-        if rule not in rules:
-            rules.append(rule)
-    return rules
+            conditions.append(("tag", name.lower(), None))
+    if at != len(text) or not conditions:
+        raise ValueError(f"not a selector of one element: {text!r}")
+    return tuple(conditions)
+
+
+def exclude_rules() -> list[Condition]:
+    """The selectors above, of one condition each, as distinct rows."""
+    return list(dict.fromkeys(selector(s)[0] for group in EXCLUDE_SELECTORS.values() for s in group))

@@ -6,6 +6,10 @@ shuffle; :func:`token_table` explodes the same array for users who want rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress import config
@@ -118,58 +122,89 @@ def token_table(df: DataFrame, html: str = "content", key: str = "page_id") -> D
     )
 
 
-def _names(kind: str) -> list[str]:
-    return [name for k, name, _ in config.exclude_rules() if k == kind]
+Rules = tuple[tuple[config.Condition, ...], ...]
+DEFAULT_RULES: Rules = tuple((rule,) for rule in config.exclude_rules())
+
+
+def rules_of(selectors: Iterable[str]) -> Rules:
+    """Selectors as rules; an element is excluded if it meets all conditions of one of them."""
+    return tuple(dict.fromkeys(config.selector(s) for s in selectors))
+
+
+def _simple(kind: str, rules: Rules) -> list[config.Condition]:
+    return [rule[0] for rule in rules if len(rule) == 1 and rule[0][0] == kind]
+
+
+def _names(kind: str, rules: Rules) -> list[str]:
+    return [name for _, name, _ in _simple(kind, rules)]
 
 
 def attribute(attrs: Column, name: str) -> Column:
     return F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"]
 
 
-def matches_tag(tag: Column) -> Column:
-    return F.coalesce(tag.isin(_names("tag")), F.lit(False))
+def matches_tag(tag: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    return F.coalesce(tag.isin(_names("tag", rules)), F.lit(False))
 
 
-def matches_class(attrs: Column) -> Column:
+def matches_class(attrs: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    names = _names("class", rules)
     classes = F.split(attribute(attrs, "class"), f"[{WS}]+")
-    return F.coalesce(
-        F.arrays_overlap(classes, F.array(*[F.lit(n) for n in _names("class")])), F.lit(False)
-    )
+    return F.coalesce(F.arrays_overlap(classes, F.array(*map(F.lit, names))), F.lit(False)) if names else F.lit(False)
 
 
-def matches_id(attrs: Column) -> Column:
-    return F.coalesce(attribute(attrs, "id").isin(_names("id")), F.lit(False))
+def matches_id(attrs: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    return F.coalesce(attribute(attrs, "id").isin(_names("id", rules)), F.lit(False))
 
 
-def matches_attribute(attrs: Column) -> Column:
-    rules = [(name, value) for kind, name, value in config.exclude_rules() if kind == "attr"]
+def matches_attribute(attrs: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    wanted: dict[str, list[str | None]] = {}
+    for _, name, value in _simple("attr", rules):
+        wanted.setdefault(name, []).append(value)
 
     def hit(a: Column) -> Column:
         found = F.lit(False)
-        for name in dict.fromkeys(name for name, _ in rules):
-            values = [v for n, v in rules if n == name]
+        for name, values in wanted.items():
             same = a["name"] == name
             found = found | (same if None in values else same & a["value"].isin(values))
         return F.coalesce(found, F.lit(False))
 
-    return F.coalesce(F.exists(attrs, hit), F.lit(False))
+    return F.coalesce(F.exists(attrs, hit), F.lit(False)) if wanted else F.lit(False)
+
 
+def _matches_all(token: Column, rule: tuple[config.Condition, ...]) -> Column:
+    """A rule of several conditions, each taken as a rule of its own."""
+    met = F.lit(True)
+    for condition in rule:
+        met = met & _matches_one(token, ((condition,),), condition[0])
+    return met
 
-def is_excluded(token: Column) -> Column:
-    """Does one of the four kinds of rule match this opening (or raw) token?"""
+
+def _matches_one(token: Column, rules: Rules, kind: str) -> Column:
+    if kind == "tag":
+        return matches_tag(token["tag"], rules)
+    return {"class": matches_class, "id": matches_id, "attr": matches_attribute}[kind](token["attrs"], rules)
+
+
+def is_excluded(token: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    """Does a rule match this opening (or raw) token?"""
+    attributes = _matches_one(token, rules, "class") | _matches_one(token, rules, "id") | _matches_one(token, rules, "attr")
+    for rule in rules:
+        if len(rule) > 1:
+            attributes = attributes | _matches_all(token, rule)
     return F.when(
         token["kind"].isin("open", "raw"),
-        matches_tag(token["tag"])
-        | F.when(
-            F.size(token["attrs"]) > 0,
-            matches_class(token["attrs"]) | matches_id(token["attrs"]) | matches_attribute(token["attrs"]),
-        ).otherwise(False),
+        matches_tag(token["tag"], rules) | F.when(F.size(token["attrs"]) > 0, attributes).otherwise(False),
     ).otherwise(False)
 
 
-_MAY_MATCH = "<(?i:{tags})\\b|\\s(?i:class|id|{attrs})\\b".format(
-    tags="|".join(_names("tag")), attrs="|".join(dict.fromkeys(_names("attr")))
-)
+def _may_match(html: Column, rules: Rules) -> Column:
+    """Could any rule match? Looks for the tags and attribute names of the rules."""
+    conditions = [c for rule in rules for c in rule]
+    tags = dict.fromkeys(re.escape(name) for kind, name, _ in conditions if kind == "tag")
+    attrs = dict.fromkeys(re.escape(name if kind == "attr" else kind) for kind, name, _ in conditions if kind != "tag")
+    marks = [rf"<(?:{'|'.join(tags)})\b"] * bool(tags) + [rf"[\s/\"'](?:{'|'.join(attrs)})\b"] * bool(attrs)
+    return html.rlike(f"(?i:{'|'.join(marks)})") if marks else F.lit(False)
 
 
 def _open_tags(stack: Column) -> Column:
@@ -230,7 +265,7 @@ def _emitted(t: Column, before: Column, after: Column) -> Column:
     return F.when(removing, F.when(ended_from_outside, t["text"]).otherwise("")).when(t["excluded"], "").otherwise(t["text"])
 
 
-def _roles(toks: Column, foreign: Column) -> Column:
+def _roles(toks: Column, foreign: Column, rules: Rules) -> Column:
     """``array<struct<role, tag, excluded, text>>``: open and close for tags that matter to the stack.
 
     Tags that are never closed end nothing, and closes of tags that are never opened nothing either.
@@ -242,7 +277,7 @@ def _roles(toks: Column, foreign: Column) -> Column:
     def of(closes: Column, opens: Column) -> Column:
         def role(t: Column) -> Column:
             empty = t["tag"].isin(VOID_TAGS) | (foreign & F.endswith(t["text"], F.lit("/>")))
-            excluded = is_excluded(t)
+            excluded = is_excluded(t, rules)
             return F.struct(
                 F.when((t["kind"] == "close") & F.array_contains(opens, t["tag"]), "close")
                 .when((t["kind"] == "open") & ~empty & (excluded | F.array_contains(closes, t["tag"])), "open")
@@ -258,22 +293,28 @@ def _roles(toks: Column, foreign: Column) -> Column:
     return let(names("close"), lambda closes: let(names("open"), lambda opens: of(closes, opens)))
 
 
-def _strip(toks: Column) -> Column:
+def _strip(toks: Column, rules: Rules) -> Column:
     """Text without the excluded elements; NULL when none is there."""
     # Only inside svg or math does "/>" close an element. Looked up once, not per token.
     foreign = F.exists(toks, lambda t: (t["kind"] == "open") & t["tag"].isin("svg", "math"))
     start = F.struct(F.array().cast("array<struct<tag:string,n:int>>").alias("stack"), F.lit(0).alias("removed_at"))
     return let(
-        let(foreign, lambda f: _roles(toks, f)),
+        let(foreign, lambda f: _roles(toks, f, rules)),
         lambda ts: F.when(F.exists(ts, lambda t: t["excluded"]), scan_strings(ts, start, _advance, _emitted)),
     )
 
 
-def strip_elements(html: Column) -> Column:
+def strip_elements(html: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Remove every element that a rule matches, with all its contents."""
-    return F.when(
-        html.rlike(_MAY_MATCH), F.coalesce(let(tokens(html), _strip), html)
-    ).otherwise(html)
+    kept = F.coalesce(let(tokens(html), lambda toks: _strip(toks, rules)), html)
+    return F.when(_may_match(html, rules), kept).otherwise(html)
+
+
+@cache
+def stripper(selectors: tuple[str, ...]) -> Callable[[Column], Column]:
+    """:func:`strip_elements` for other selectors; the same function for the same selectors."""
+    rules = rules_of(selectors)
+    return lambda html: strip_elements(html, rules)
 
 
 # Up to the wanted attribute; every loop is possessive, so a long tag cannot exhaust the stack.

@@ -6,12 +6,14 @@ scales with the number of input splits, no key can be hot, and a lost task redoe
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagepress import config
 from pagepress.functions.cleaners import clean_markdown
 from pagepress.functions.content import with_main_content
-from pagepress.functions.elements import absolutize_links, strip_elements
+from pagepress.functions.elements import absolutize_links, strip_elements, stripper
 from pagepress.functions.flight import flight_html
 from pagepress.functions.formatting import (
     cap_words, document_body, format_document, metadata_header,
@@ -73,16 +75,19 @@ def extract(
     min_words: int | None = None,
     min_heading: int = 1,
     min_body: int = 1,
+    exclude: Iterable[str] | None = None,
 ) -> DataFrame:
     """Add ``title, description, metadata, markdown, page_markdown`` to pages with a normalized URL.
 
     Pages, texts and alt texts are kept whole unless a limit is given. ``markdown`` is the flight
     text of a page of fewer than ``min_words`` words that has any (by default never); ``page_markdown``
-    is the text of the page itself in any case.
+    is the text of the page itself in any case. ``exclude`` lists selectors of elements that are not
+    content, instead of those in ``config``.
     """
     df = with_metadata(df, html, url)
     df = with_main_content(df, html, "__content", max_html_chars)
-    df = df.withColumn("__content", column_of(strip_elements, "__content"))
+    strip = strip_elements if exclude is None else stripper(tuple(exclude))
+    df = df.withColumn("__content", column_of(strip, "__content"))
     df = df.withColumn("__content", column_of(absolutize_links, "__content", url))
     df = html_to_markdown(df, "__content", max_alt_text=max_alt_text).drop("__content")
     if min_words is not None:
@@ -104,8 +109,8 @@ def format_rows(df: DataFrame, url: str = "url_key") -> DataFrame:
     return df.withColumn("document", _document(url)).drop("__body")
 
 
-def page_documents(pages: DataFrame, **limits: int | None) -> DataFrame:
+def page_documents(pages: DataFrame, **options) -> DataFrame:
     """``page_id, url, html`` in; ``page_id, url_key, title, description, metadata, markdown,
-    page_markdown, document`` out. ``limits`` are those of :func:`extract`; by default nothing is cut."""
+    page_markdown, document`` out. ``options`` are those of :func:`extract`; by default nothing is cut."""
     keyed = pages.select("page_id", column_of(normalize_url, "url").alias("url_key"), "html")
-    return format_rows(extract(keyed, **limits)).drop("html")
+    return format_rows(extract(keyed, **options)).drop("html")

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from pagepress import config
 from pagepress.functions import content as c
 from pagepress.functions import elements as e
 
@@ -90,6 +92,25 @@ def test_strip(apply):
     assert apply(e.strip_elements, *cases) == list(cases.values())
 
 
+def test_own_selectors(apply):
+    strip = e.stripper(("div.ad.big", "P", "[data-x='1 2'][hidden]", "i#a"))
+    cases = {
+        "<div class='big x ad'>z</div><div class=ad>k</div>": "<div class=ad>k</div>",
+        "<p>z</p><nav>k</nav>": "<nav>k</nav>",
+        '<b data-x="1 2" hidden>z</b><b hidden>k</b><b data-x="1 2">k</b>': '<b hidden>k</b><b data-x="1 2">k</b>',
+        "<i id=a>z</i><b id=a>k</b>": "<b id=a>k</b>",
+        "<textarea class='ad big'><p></textarea>": "<textarea class='ad big'><p></textarea>",
+    }
+    assert apply(strip, *cases) == list(cases.values())
+    assert apply(e.stripper(()), "<nav>k</nav>") == ["<nav>k</nav>"]
+
+
+@pytest.mark.parametrize("text", ["", "a b", "a>b", ".", "a[x", "#a b", ".ad,nav", "[x~=y]", "*"])
+def test_what_is_no_selector(text):
+    with pytest.raises(ValueError):
+        config.selector(text)
+
+
 def test_bodies_without_tags(apply):
     cases = {
         "<textarea><nav>code sample</nav></textarea><title>a <nav> b</title>": None,
