@@ -17,12 +17,12 @@ NO_BODY = "No page was received"
 UNREADABLE = "The page could not be read"
 
 
-def crawl_documents(crawl: DataFrame, **limits: int | None) -> DataFrame:
+def crawl_documents(crawl: DataFrame, **options) -> DataFrame:
     """``page_id, url, status, content_type, html`` in; the columns of documents and ``error`` out.
 
     Every input row comes out once. A row has either a ``document`` or an ``error``: a missing URL, a
     bad response, a missing body, or a page that gives no document. Nothing is extracted from rows
-    that have an error already. ``limits`` are those of ``extract``.
+    that have an error already. ``options`` are those of ``extract``.
     """
     rows = with_errors(crawl).withColumn(
         "error", F.coalesce(F.col("error"), F.when(F.col("html").isNull(), NO_BODY))
@@ -35,7 +35,7 @@ def crawl_documents(crawl: DataFrame, **limits: int | None) -> DataFrame:
         F.when(good, F.col("html")).alias("html"),
         "error",
     ).withColumn("url_key", column_of(normalize_url, "url"))
-    done = format_rows(extract(keyed, **limits)).withColumn("document", F.when(good, F.col("document")))
+    done = format_rows(extract(keyed, **options)).withColumn("document", F.when(good, F.col("document")))
     return done.select(
         "page_id", F.col("crawl_url").alias("url"), "url_key",
         *(F.when(good, F.col(c)).alias(c) for c in ("title", "description", "metadata", "markdown", "page_markdown")),

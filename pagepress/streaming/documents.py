@@ -1,10 +1,11 @@
-"""Crawl stream to documents, and a snapshot table kept up to date by micro-batches."""
+"""Crawl stream to documents and error rows, and a snapshot table kept up to date by micro-batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagepress.operators.snapshots import latest_per_key, read_deltas, read_version, upsert, write_version
+from pagepress.plans.crawl import crawl_documents, write_crawl
 from pagepress.plans.documents import page_documents
 
 
@@ -13,6 +14,20 @@ def document_stream(pages: DataFrame) -> DataFrame:
     return page_documents(pages)
 
 
+def crawl_batch(root: str, **options):
+    """A ``foreachBatch`` function that writes the documents and the error rows of a batch of responses.
+
+    Batch ``n`` has the folder ``batch=n``, in which one job writes both; running it again replaces what
+    it wrote, so every response has one row however often a batch is repeated. Reading ``root`` gives
+    ``batch`` and ``failed`` as columns that prune. ``options`` are those of ``extract``.
+    """
+
+    def run(responses: DataFrame, batch: int) -> None:
+        write_crawl(crawl_documents(responses, **options), f"{root}/batch={batch}", "overwrite")
+
+    return run
+
+
 def _written(spark: SparkSession, root: str, kind: str) -> list[int]:
     """Numbers of the completely written versions or deltas, in order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -49,9 +64,8 @@ def upsert_batch(root: str, now: int | None = None, merge_every: int = 1):
 
     Every ``merge_every``-th batch writes the whole table as version ``n``; those between write their
     own rows only, as delta ``n``, so a batch costs what it brings. Both are built from what batches
-    before ``n`` left, so a batch that is run again after a failure writes the same once more. Older
-    versions, and deltas up to the last version, are not read any more; who runs the stream deletes
-    them when no reader is left on them.
+    before ``n`` left, so a batch that is run again after a failure writes the same once more. What is
+    not read any more is deleted by :func:`expire_versions`.
     """
 
     def run(documents: DataFrame, batch: int) -> None:
@@ -77,3 +91,24 @@ def upsert_batch(root: str, now: int | None = None, merge_every: int = 1):
         write_version(upsert(current_snapshots(spark, root, before=batch), new), root, batch)
 
     return run
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete all but the last ``keep`` versions, and the deltas that these hold; names what it deleted.
+
+    At least two versions stay, as the last batch may be run again and is then built from the one before.
+    Only folders that were completely written count and go. Readers of an older version lose it, so
+    ``keep`` has to cover the longest of them.
+    """
+    if keep < 2:
+        raise ValueError("the last batch may be run again, so at least two versions have to stay")
+    versions = _written(spark, root, "version")
+    if len(versions) <= keep:
+        return []
+    oldest = versions[-keep]
+    gone = [f"version={n}" for n in versions if n < oldest]
+    gone += [f"delta={n}" for n in _written(spark, root, "delta") if n <= oldest]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -1,13 +1,17 @@
 """Snapshots, throttle, streams."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagepress.operators import snapshots, throttle
 from pagepress.plans.crawl import crawl_documents, write_crawl
 from pagepress.sources.pages import stream_pages, with_errors
-from pagepress.streaming.documents import current_snapshots, document_stream, latest_version, upsert_batch
+from pagepress.streaming.documents import (
+    crawl_batch, current_snapshots, document_stream, expire_versions, latest_version, upsert_batch,
+)
 from pagepress.streaming.throttle import throttle_batch
 
 NOW = 100000
@@ -253,3 +257,41 @@ def test_document_stream_upserts(spark, tmp_path):
     upsert_batch(str(tmp_path / "snap"), now=NOW + 1)(again, last)
     assert latest_version(spark, str(tmp_path / "snap")) == last
     assert snapshots.read_version(spark, str(tmp_path / "snap"), last).count() == 2
+
+
+def test_crawl_stream_writes_each_response_once(spark, tmp_path):
+    schema = "page_id long, url string, status int, content_type string, html string"
+    page = "<article><h1>One</h1></article>"
+    write, root = crawl_batch(str(tmp_path / "out")), str(tmp_path / "out")
+    for rows in [[(1, "e.com/a", 200, "text/html", page), (2, None, 200, "text/html", page)], [(3, "e.com/c", 404, "text/html", page)]]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = (
+            spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(write)
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(240)
+    got = lambda: sorted((r.batch, r.page_id, r.error) for r in spark.read.parquet(root).collect())
+    want = [(0, 1, None), (0, 2, "Missing URL"), (1, 3, "HTTP 404")]
+    assert got() == want
+    write(spark.createDataFrame([(3, "e.com/c", 404, "text/html", page)], schema), 1)
+    assert got() == want
+
+
+def test_expired_versions_leave_what_the_last_batch_needs(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    assert expire_versions(spark, root) == []
+    write = upsert_batch(root, merge_every=2)
+    batches = [snaps(spark, (f"k{n % 3}", f"d{n}", n), ("x", f"x{n}", n)).withColumn("page_id", F.lit(n)) for n in range(7)]
+    for n, rows in enumerate(batches):
+        write(rows, n)
+    whole = {tuple(r) for r in current_snapshots(spark, root).collect()}
+    assert whole == {("x", "x6", 6), ("k0", "d6", 6), ("k1", "d4", 4), ("k2", "d5", 5)}
+    gone = expire_versions(spark, root)
+    assert "version=1" in gone and {"delta=0", "delta=2"} <= set(gone)
+    assert {tuple(r) for r in current_snapshots(spark, root).collect()} == whole
+    write(batches[6], 6)
+    write(batches[5], 5)
+    assert {tuple(r) for r in current_snapshots(spark, root).collect()} == whole
+    assert "version=3" in os.listdir(root) and expire_versions(spark, root) == []
+    with pytest.raises(ValueError):
+        expire_versions(spark, root, keep=1)
