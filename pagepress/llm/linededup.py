@@ -9,15 +9,16 @@ Steps, each over all lines:
 
 1. Equal lines. Occurrences meet by hash of the line (two times 64 bits); all but the first go. What
    follows works on distinct lines.
-2. Rarity. Words are counted by hash into ``BUCKETS`` counters, a table of fixed size. Its order of
-   counts orders all tokens, rare ones first; a shared counter can only make a rare word look common,
-   and any one order of all tokens keeps the join exact.
-3. Groups of near copies. Under each of three min-hash keys every line is compared with the earliest
-   line of the key only. That is linear, however large a group, and settles nearly all of a large
+2. Rarity. Words are counted by hash into ``BUCKETS`` counters, a table of fixed size. The counts, in steps
+   of a quarter power of two, order all tokens, rare ones first; a shared counter can only make a rare word
+   look common, and any one order of all tokens keeps the join exact.
+3. Groups of near copies. Under each of three keys, pairs of min-hashes, every line is compared with the
+   earliest line of the key only. That is linear, however large a group, and settles nearly all of a large
    group's lines. A line settled here needs no further search; it still serves as an earlier line.
 4. All other lines. A line of n tokens has a prefix of n - ceil(0.8 n) + 1 rarest tokens. Two similar
    lines share one; at their first shared token the positions bound the overlap (positional filter,
-   which holds the length filter), and 64-bit parity maps of the sets bound the difference from below.
+   which holds the length filter), and parity maps of the sets bound the difference from below: 64 bits,
+   which sets of ``LONG`` tokens fill, so that two such sets are also compared in 256.
 5. Candidates are verified by the Jaccard similarity of the tokens themselves.
 
 Decisions are line numbers, kept as bits for each document. They are joined to the documents, as a
@@ -26,11 +27,12 @@ broadcast if counted to be small, else by a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagepress.llm.common import cut
 
 BUCKETS = 1 << 16
+LONG = 80
 BROADCAST_BYTES = 32 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
 _FLIP = 0x5A5A5A5A5A5A5A5A
@@ -82,8 +84,11 @@ def _lines(docs: DataFrame, bits: str = "gone", *extra: str) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """Tokens of a line that has some, repeats included."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACE)
+    """Tokens of a line that has some, repeats included. Splitting at single spaces is the faster way, if it is one."""
+    other = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        other |= F.contains(line, F.lit(space))
+    return F.when(other, F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACE)).otherwise(F.split(line, " "))
 
 
 def _tokens(line: Column) -> Column:
@@ -91,34 +96,49 @@ def _tokens(line: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """Rank of a counter, by count: a literal of fixed size."""
-    words = docs.select(F.explode(F.split("text", _SPACE)).alias("word"))
-    counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count().collect()
-    count = {r["bucket"]: r["count"] for r in counted}
-    order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
+    """Rank of a counter, four times the logarithm of its count: a literal of fixed size."""
+    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+    counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count()
+    step = F.least(F.floor(4 * F.log2("count")), F.lit(127)).cast("int")
     rank = [0] * BUCKETS
-    for place, bucket in enumerate(order):
-        rank[bucket] = place
+    for r in counted.groupBy(step.alias("step")).agg(F.collect_list("bucket").alias("buckets")).collect():
+        for bucket in r["buckets"]:
+            rank[bucket] = r["step"]
     return F.from_json(F.lit("[" + ",".join(map(str, rank)) + "]"), "array<int>")
 
 
+def _parity(numbers: Column) -> Column:
+    """Which numbers, by their last six bits, come an odd number of times: a map of 64 bits."""
+    one = F.lit(1).cast("long")
+    flip = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int")))
+    return F.aggregate(numbers, F.lit(0).cast("long"), flip)
+
+
 def _with_sets(lines: DataFrame, rank: Column) -> DataFrame:
-    """Lines with ``h`` (hash of the line), ``n`` tokens, ``sorted`` token numbers by rarity, parity map ``bits``."""
+    """Lines with ``h`` (hash of the line), ``n`` tokens, ``sorted`` token numbers by rarity, parity map ``bits``.
+
+    ``bits1`` to ``bits3`` are quarters of a map of 256 bits, null below ``LONG`` tokens. ``bits`` is the
+    exclusive or of all four, so the fourth quarter follows from it.
+    """
 
     def number(token: Column) -> Column:
         h = F.xxhash64(token)
         place = F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
-        return F.shiftleft(place, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+        return F.shiftleft(place, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     numbered = lines.withColumn("sorted", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), number))))
-    one = F.lit(1).cast("long")
-    flip = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int")))
+
+    def quarter(i: int) -> Column:
+        own = F.filter("sorted", lambda t: t.bitwiseAND(192) == 64 * i)
+        return F.when(F.size("sorted") >= LONG, _parity(own))
+
     return numbered.select(
         *(c for c in lines.columns if c != "line"),
         F.xxhash64("line").alias("h"),
         F.size("sorted").alias("n"),
         "sorted",
-        F.aggregate("sorted", F.lit(0).cast("long"), flip).alias("bits"),
+        _parity(F.col("sorted")).alias("bits"),
+        *(quarter(i).alias(f"bits{i}") for i in (1, 2, 3)),
     )
 
 
@@ -128,6 +148,18 @@ def _possible(nx: Column, ny: Column, bits_x: Column, bits_y: Column) -> Column:
     return lengths & (9 * F.bit_count(bits_x.bitwiseXOR(bits_y)) <= nx + ny)
 
 
+def _possible_long(nx: Column, ny: Column) -> Column:
+    """The same by all 256 bits, of lines ``x_`` and ``y_`` that both have them."""
+    quarters = [F.col(f"x_bits{i}").bitwiseXOR(F.col(f"y_bits{i}")) for i in (1, 2, 3)]
+    last = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
+    for q in quarters:
+        last = last.bitwiseXOR(q)
+    differ = F.bit_count(last)
+    for q in quarters:
+        differ += F.bit_count(q)
+    return (F.least(nx, ny) < LONG) | (9 * differ <= nx + ny)
+
+
 def _repeats(docs: DataFrame) -> DataFrame:
     """All occurrences of equal lines but the first."""
     rows = _lines(docs.withColumn("gone", F.lit(None).cast("array<bigint>")))
@@ -142,27 +174,27 @@ def _repeats(docs: DataFrame) -> DataFrame:
 def _hub_candidates(lines: DataFrame) -> DataFrame:
     """Pairs (later, earlier) of line hashes: each line with the earliest line under each of three keys.
 
-    The keys are least and largest hashes of the tokens. Pairs that share one key only, or whose numbers
-    of words are far apart, are left to the exact search.
+    A key is two of three hashes: the least, the largest and another least hash of the tokens. Pairs that
+    share no key, or whose words with repeats are too many or too different, are left to the exact search,
+    and so is the order of lines whose documents have one id. The first row of a key runs along its rows in order; no
+    task holds a key's rows.
     """
     hashed = lines.select(
-        "doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h"),
+        "doc_id", "line_no", F.xxhash64("line").alias("h"),
         F.transform(_words(F.col("line")), lambda t: F.xxhash64(t)).alias("_hashes"),
     )
     flipped = F.transform("_hashes", lambda t: t.bitwiseXOR(F.lit(_FLIP)))
     keyed = hashed.select(
-        "doc_id", "text_hash", "line_no", "h", F.size("_hashes").alias("words"),
+        "doc_id", "line_no", "h", F.size("_hashes").alias("words"), _parity(F.col("_hashes")).alias("bits"),
         F.array_min("_hashes").alias("k1"), F.array_max("_hashes").alias("k2"), F.array_min(flipped).alias("k3"),
     )
-    own = F.struct("doc_id", "text_hash", "line_no", "h", "words", "k1", "k2", "k3")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col(f"k{i}")) for i in (1, 2, 3)))
-    rows = keyed.select(own.alias("own"), F.explode(keys).alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    met = rows.join(hubs.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
-    shared = sum(F.when(F.col(f"own.k{i}") == F.col(f"hub.k{i}"), 1).otherwise(0) for i in (1, 2, 3))
-    few, many = F.least("own.words", "hub.words"), F.greatest("own.words", "hub.words")
-    return met.filter((F.col("own.h") != F.col("hub.h")) & (shared >= 2) & (5 * few >= 4 * many)).select(
-        F.col("own.h").alias("later"), F.col("hub.h").alias("earlier")
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col(f"k{i}"), F.col(f"k{i % 3 + 1}")) for i in (1, 2, 3)))
+    rows = keyed.select("doc_id", "line_no", "h", "words", "bits", F.explode(keys).alias("key"))
+    order = Window.partitionBy("key").orderBy("doc_id", "line_no", "h").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("hub", F.first(F.struct("h", "words", "bits")).over(order))
+    near = _possible(F.col("words"), F.col("hub.words"), F.col("bits"), F.col("hub.bits"))
+    return met.filter((F.col("h") != F.col("hub.h")) & near).select(
+        F.col("h").alias("later"), F.col("hub.h").alias("earlier")
     )
 
 
@@ -175,7 +207,7 @@ def _prefix_candidates(sets: DataFrame) -> DataFrame:
     n = F.col("n")
     prefix = F.slice("sorted", F.lit(1), (n - F.floor((4 * n + 4) / 5) + 1).cast("int"))
     rows = sets.select(
-        F.posexplode(prefix).alias("at", "token"), "h", "bits",
+        F.posexplode(prefix).alias("at", "token"), "h", "bits", "bits1", "bits2", "bits3",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"),
         F.when(F.col("settled"), -n).otherwise(n).alias("n"),
     ).filter("token is not null")
@@ -187,7 +219,7 @@ def _prefix_candidates(sets: DataFrame) -> DataFrame:
         y,
         (F.col("x_token") == F.col("y_token")) & (nx * ny > 0) & (F.col("x_h") != F.col("y_h"))
         & (F.col("x_doc") <= F.col("y_doc")) & (9 * shared >= 4 * (nx + ny))
-        & _possible(nx, ny, F.col("x_bits"), F.col("y_bits")),
+        & _possible(nx, ny, F.col("x_bits"), F.col("y_bits")) & _possible_long(nx, ny),
     )
     return met.select(F.col("y_h").alias("later"), F.col("x_h").alias("earlier"))
 

@@ -78,6 +78,27 @@ def test_line_dedup_edges(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def long_lines(n=24, words=120):
+    """Lines of 108 common words and 12 rare ones that three lines share; every second line has a near copy."""
+    common = [[f"c{(7 * i + 11 * k) % 1200}" for k in range(words - 12)] for i in range(n)]
+    lines = [" ".join([*c, *(f"rare{i // 3}x{k}" for k in range(12))]) for i, c in enumerate(common)]
+    copies = [line.replace("rare", "else", 1 + i % 12) for i, line in enumerate(lines) if i % 2]
+    return [(i, line, "s") for i, line in enumerate([*lines, *copies, "  two\tspaces  and\x0b a \rtab ", "and a spaces tab two"])]
+
+
+def test_line_dedup_long_lines(spark):
+    """Lines too long for 64 bits: only near copies are candidates, and all of them."""
+    docs = frame(spark, long_lines())
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_removed(rows)
+    lines = linededup._lines(linededup._keyed(docs).withColumn("gone", F.lit(None).cast("array<bigint>")))
+    sets = linededup._with_sets(lines.withColumn("settled", F.lit(False)), linededup._rarity(linededup._keyed(docs)))
+    pairs = linededup._prefix_candidates(sets).distinct()
+    got = {r.doc_id: r.removed for r in linededup.dedup_lines(docs).collect()}
+    assert len(want) > 10 and {k for k, v in got.items() if v} == set(want)
+    assert pairs.count() == len(want)
+
+
 def plain_groups(rows):
     """Smallest id reachable over pairs within three bits, comparing all pairs."""
     prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
