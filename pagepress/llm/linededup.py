@@ -176,8 +176,8 @@ def _hub_candidates(lines: DataFrame) -> DataFrame:
 
     A key is two of three hashes: the least, the largest and another least hash of the tokens. Pairs that
     share no key, or whose words with repeats are too many or too different, are left to the exact search,
-    and so is the order of lines whose documents have one id. The first row of a key runs along its rows in order; no
-    task holds a key's rows.
+    and so is the order of lines whose documents have one id. A key's rows pass through one task in order, which
+    keeps the first of them only.
     """
     hashed = lines.select(
         "doc_id", "line_no", F.xxhash64("line").alias("h"),
